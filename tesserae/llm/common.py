@@ -43,16 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def located(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs``'s given columns with the locator columns ``_file`` and ``_row``."""
-    wanted = [F.col(c) for c in columns]
-    where = [F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW)]
+def anchored(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have locators, else a stored copy of it, whose rows have."""
     try:
-        out = docs.select(*wanted, *where)
-        out.schema  # resolves the plan
-        return out
+        docs.select("_metadata.row_index").schema  # resolves the plan
+        return docs
     except AnalysisException:
-        return stored(docs.select(*columns), "rows").select(*wanted, *where)
+        return stored(docs, "rows")
+
+
+def located(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of anchored ``docs`` with the locator columns ``_file`` and ``_row``."""
+    return docs.select(*columns, F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
 def text_of(column: str = "text") -> "F.Column":
