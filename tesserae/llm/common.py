@@ -65,3 +65,16 @@ def text_of(column: str = "text") -> "F.Column":
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle of this session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of doc_id.
+
+    A first pass counts (no text is read for that), so that the second only passes on about as many rows
+    as are wanted, and no task sends the driver more than its share.
+    """
+    n = rows.count()
+    h = F.xxhash64(F.col("doc_id"), F.lit(17))
+    share = min(1.0, 1.1 * most / max(1, n))
+    few = rows if share >= 1 else rows.where(h < F.lit(int(-(2**63) + share * (2**64 - 1))))
+    return few.orderBy(h, "doc_id").limit(most)
