@@ -78,3 +78,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     model = langid.train(docs.where("NOT held_out"))
     return langid.predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import near_dedup
+
+    return near_dedup.near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
