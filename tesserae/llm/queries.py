@@ -85,3 +85,20 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import near_dedup
 
     return near_dedup.near_dedup(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import toxicity
+
+    docs = documents(spark, sf_dir).withColumn("held_out", toxicity.held_out())
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
+    model = toxicity.train(docs.where("NOT held_out"), labels)
+    return toxicity.score(docs, model, keep=("held_out",)).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import mixing
+
+    return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "source", "n_tokens", "epoch", "block", "position")
