@@ -54,7 +54,7 @@ def anchored(docs: DataFrame) -> DataFrame:
 
 def located(docs: DataFrame, *columns: str) -> DataFrame:
     """The given columns of anchored ``docs`` with the locator columns ``_file`` and ``_row``."""
-    return docs.select(*columns, F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    return docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
 def text_of(column: str = "text") -> "F.Column":

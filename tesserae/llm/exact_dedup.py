@@ -105,6 +105,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts (see ``dedup``)."""
     docs = anchored(docs)
     columns = docs.columns
-    stays = dedup(docs).where("kept").select(F.col(FILE).alias("_f"), F.col(ROW).alias("_r"))
-    here = (F.xxhash64(F.col("_metadata.file_path")) == F.col("_f")) & (F.col("_metadata.row_index") == F.col("_r"))
-    return docs.join(stays, here, "left_semi").select(*columns)
+    stays = dedup(docs).where("kept").select(FILE, ROW)
+    return located(docs, *docs.columns).join(stays, [FILE, ROW], "left_semi").select(*docs.columns)

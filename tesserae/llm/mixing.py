@@ -154,6 +154,5 @@ def mixture(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B0
 def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """``docs`` as the mixture has it: rows that are picked more than once are repeated, others may be left out."""
     docs = anchored(docs)
-    picked = mixture(docs, s).select(F.col(FILE).alias("_f"), F.col(ROW).alias("_r"))
-    here = (F.xxhash64(F.col("_metadata.file_path")) == F.col("_f")) & (F.col("_metadata.row_index") == F.col("_r"))
-    return docs.join(picked, here).select(*docs.columns)
+    picked = mixture(docs, s).select(FILE, ROW)
+    return located(docs, *docs.columns).join(picked, [FILE, ROW]).select(*docs.columns)

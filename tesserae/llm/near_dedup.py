@@ -328,6 +328,5 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa:
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """``docs`` with one row of each class of near-duplicates (see ``near_dedup``)."""
     docs = anchored(docs)
-    stays = near_dedup(docs, s).where("kept").select(F.col(FILE).alias("_f"), F.col(ROW).alias("_r"))
-    here = (F.xxhash64(F.col("_metadata.file_path")) == F.col("_f")) & (F.col("_metadata.row_index") == F.col("_r"))
-    return docs.join(stays, here, "left_semi").select(*docs.columns)
+    stays = near_dedup(docs, s).where("kept").select(FILE, ROW)
+    return located(docs, *docs.columns).join(stays, [FILE, ROW], "left_semi").select(*docs.columns)
