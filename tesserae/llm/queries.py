@@ -102,3 +102,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import mixing
 
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "source", "n_tokens", "epoch", "block", "position")
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import licenses
+
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import secrets
+
+    return secrets.scan_documents(documents(spark, sf_dir), secrets.train())
