@@ -1,7 +1,545 @@
-"""The registered queries of the matrix engine and the SQL each is held against."""
+"""The registered queries of the matrix engine and the SQL each is held against.
+
+Keys are the operators' names in the blueprint. Doubles are rounded on both sides, as sums in another order
+differ in their last digits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.functions import names, text
+from tesserae.model import CELL, GENE, VALUE, Dims
+from tesserae.operators import aggregate, check, compare, diagnose, layers, layout, select, transform
+from tesserae.plans import star
+
 FLAGSHIP = "O_top_genes"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: Common table expressions of the SQL: x, a changed copy y, extents and split layers.
+CTE = {
+    "x": "x AS (SELECT l_orderkey AS cell_idx, l_partkey AS gene_idx, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)",
+    "y": "y AS (SELECT cell_idx, gene_idx, CASE WHEN (cell_idx + gene_idx) % 7 = 0 THEN value + 0.5 ELSE value END AS value FROM x WHERE (cell_idx * 31 + gene_idx) % 11 <> 0)",
+    "d": "d AS (SELECT (SELECT count(*) FROM orders) AS n, (SELECT count(*) FROM part) AS m, (SELECT min(o_orderkey) FROM orders) AS c0, (SELECT min(p_partkey) FROM part) AS g0)",
+    "l": "l AS (SELECT 'counts.' || l_returnflag AS layer, l_orderkey AS cell_idx, l_partkey AS gene_idx, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3)",
+    "z": "z AS (SELECT cell_idx, gene_idx, CASE WHEN t > 0 THEN ln(value * 10000 / t + 1) ELSE value END AS value FROM (SELECT *, sum(value) OVER (PARTITION BY cell_idx) AS t FROM x))",
+    "p": "p AS (SELECT coalesce(x.value, 0) AS a, coalesce(y.value, 0) AS b, x.value IS NOT NULL AS in_a, y.value IS NOT NULL AS in_b FROM x FULL OUTER JOIN y ON x.cell_idx = y.cell_idx AND x.gene_idx = y.gene_idx)",
+}
+R = 6
+
+
+def query(sql: str = "", *ctes: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = ("WITH " + ", ".join(CTE[c] for c in ctes) + " " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def again(name: str, of: str) -> None:
+    """Another operator of the blueprint that this engine does by the same plan."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLES:
+        ORACLES[name] = ORACLES[of]
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, R) for c in columns})
+
+
+# transforms
+
+
+@query("SELECT cell_idx, gene_idx, round(value, 6) AS value FROM z", "x", "z")
+def O_norm_log1p(spark, sf):
+    return rounded(transform.normalised(star.x(spark, sf)), VALUE)
+
+
+again("O_fn_ln", "O_norm_log1p")
+
+VARIANCE = """SELECT p_partkey AS gene_idx, round(coalesce(mu, 0), 6) AS mean, round(coalesce((ss + mu * mu * (n - k)) / n, 0), 6) AS variance
+FROM part LEFT JOIN (SELECT z.gene_idx, any_value(mu) AS mu, any_value(k) AS k, sum((value - mu) * (value - mu)) AS ss
+  FROM z JOIN (SELECT gene_idx, sum(value) / any_value(n) AS mu, count(*) AS k FROM z, d GROUP BY gene_idx) g ON z.gene_idx = g.gene_idx GROUP BY z.gene_idx) v ON p_partkey = v.gene_idx, d"""
+
+
+@query(VARIANCE, "x", "z", "d")
+def O_gene_variance(spark, sf):
+    x = transform.normalised(star.x(spark, sf))
+    return rounded(transform.gene_variances(x, star.var(spark, sf), star.dims(spark, sf)), "mean", "variance")
+
+
+@query(f"SELECT gene_idx, mean, variance FROM ({VARIANCE.replace('round(coalesce((ss', 'coalesce((ss + mu * mu * (n - k)) / n, 0) AS v, round(coalesce((ss')}) ORDER BY v DESC, gene_idx LIMIT 20", "x", "z", "d")
+def O_top_genes(spark, sf):
+    x = transform.normalised(star.x(spark, sf))
+    return rounded(transform.top_genes(transform.gene_variances(x, star.var(spark, sf), star.dims(spark, sf)), 20), "mean", "variance")
+
+
+@query("SELECT p_partkey AS gene_idx, coalesce(CAST(p_brand AS VARCHAR), '') AS _index, p_name, p_size FROM part")
+def O_proj_gene_id(spark, sf):
+    return transform.use_gene_ids(star.dataset(spark, sf), "p_brand").var.select(GENE, "_index", "p_name", "p_size")
+
+
+# selection
+
+
+@query("SELECT new AS cell_idx, gene_idx, value FROM x JOIN (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS new FROM orders WHERE o_orderstatus = 'F') ON cell_idx = k", "x")
+def O_sel_rows(spark, sf):
+    kept = star.obs(spark, sf).where("o_orderstatus = 'F'").select(CELL)
+    return select.rows(star.x(spark, sf), kept)
+
+
+@query("SELECT cell_idx, gene_idx - 50 AS gene_idx, value FROM x WHERE gene_idx >= 50 AND gene_idx < 90", "x")
+def O_sel_cols_range(spark, sf):
+    return select.columns_between(star.x(spark, sf), 50, 90)
+
+
+@query("SELECT cell_idx, new AS gene_idx, value FROM x JOIN (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS new FROM part WHERE p_size % 3 = 0) ON gene_idx = k", "x")
+def O_sel_cols_sparse(spark, sf):
+    return select.rows(star.x(spark, sf), star.var(spark, sf).where("p_size % 3 = 0").select(GENE), GENE)
+
+
+@query("SELECT new AS gene_idx, p_name, p_size FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS new FROM part WHERE p_size % 3 = 0)")
+def O_sel_cols_keep(spark, sf):
+    ds = star.dataset(spark, sf)
+    return select.keep_genes(ds, ds.var.where("p_size % 3 = 0").select(GENE)).var.select(GENE, "p_name", "p_size")
+
+
+@query("SELECT max(p_partkey) - min(p_partkey) + 1 = count(DISTINCT p_partkey) AS contiguous FROM part")
+def O_sel_contig(spark, sf):
+    return select.is_contiguous(star.var(spark, sf), GENE)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS cell_idx, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%'")
+def O_sel_df_rows(spark, sf):
+    obs = star.obs(spark, sf)
+    new = select.renumbered(obs.where("o_orderpriority LIKE '1%'").select(CELL), CELL)
+    return obs.join(new, CELL).select(F.col("new").alias(CELL), "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT * FROM x WHERE cell_idx >= 100 AND cell_idx < 600", "x")
+def O_sel_chunk_rows(spark, sf):
+    return select.rows_between(star.x(spark, sf), 100, 600)
+
+
+@query("SELECT o_orderkey AS cell_idx, o_orderstatus FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 600")
+def O_sel_df_slice(spark, sf):
+    return select.rows_between(star.obs(spark, sf), 100, 600).select(CELL, "o_orderstatus")
+
+
+@query("SELECT p_name FROM part")
+def O_sel_column(spark, sf):
+    return star.var(spark, sf).select("p_name")
+
+
+@query("SELECT CAST(floor(cell_idx / 1000) AS BIGINT) AS cell_block, CAST(floor(gene_idx / 64) AS BIGINT) AS gene_block, count(*) AS n, sum(value) AS total FROM x GROUP BY 1, 2", "x")
+def O_proj_index_select(spark, sf):
+    return select.blocks(star.x(spark, sf), 1000, 64).groupBy("cell_block", "gene_block").agg(F.count(F.lit(1)).alias("n"), F.sum(VALUE).alias("total"))
+
+
+# layouts
+
+
+@query("SELECT gene_idx, count(*) AS n, min(cell_idx) AS first, CAST(sum(cell_idx) AS BIGINT) AS cells, sum(value) AS total FROM x GROUP BY gene_idx", "x")
+def O_cvt_csr_csc(spark, sf):
+    x = layout.csc(layout.unpacked(layout.csr(star.x(spark, sf)), CELL, GENE))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return x.select(GENE, F.size("indices").cast("long").alias("n"), F.element_at("indices", 1).alias("first"), F.aggregate("indices", F.lit(0).cast("long"), lambda a, v: a + v).alias("cells"), total("data").alias("total"))
+
+
+@query("SELECT cell_idx, count(*) AS n, min(gene_idx) AS first, max(gene_idx) AS last FROM x GROUP BY cell_idx", "x")
+def O_cvt_csc_csr(spark, sf):
+    x = layout.csr(layout.unpacked(layout.csc(star.x(spark, sf)), GENE, CELL))
+    return x.select(CELL, F.size("indices").cast("long").alias("n"), F.element_at("indices", 1).alias("first"), F.element_at("indices", -1).alias("last"))
+
+
+for name in ("O_cvt_csr_csc_par", "O_snk_dgc"):
+    again(name, "O_cvt_csr_csc")
+for name in ("O_cvt_csc_csr_par", "O_cvt_auto"):
+    again(name, "O_cvt_csc_csr")
+
+
+@query("SELECT o_orderkey AS cell_idx, sum(CASE WHEN gene_idx < g0 + 40 THEN value ELSE 0 END) AS total, CAST(40 - count(CASE WHEN gene_idx < g0 + 40 THEN 1 END) AS BIGINT) AS zeros FROM orders CROSS JOIN d LEFT JOIN x ON cell_idx = o_orderkey WHERE o_orderkey < c0 + 300 GROUP BY 1", "x", "d")
+def O_cvt_csr_dense(spark, sf):
+    d = star.dims(spark, sf)
+    few = Dims(300, 40, first_cell=d.first_cell, first_gene=d.first_gene)
+    x = star.x(spark, sf).where((F.col(CELL) < d.first_cell + 300) & (F.col(GENE) < d.first_gene + 40))
+    rows = layout.dense_rows(x, star.obs(spark, sf).where(F.col(CELL) < d.first_cell + 300), few)
+    return rows.select(CELL, F.aggregate("vec", F.lit(0.0), lambda a, v: a + v).alias("total"), F.size(F.filter("vec", lambda v: v == 0)).cast("long").alias("zeros"))
+
+
+again("O_cvt_row_major", "O_cvt_csr_dense")
+
+
+@query("SELECT x.* FROM x, d WHERE cell_idx < c0 + 300 AND gene_idx < g0 + 40", "x", "d")
+def O_cvt_dense_csr(spark, sf):
+    d = star.dims(spark, sf)
+    few = Dims(300, 40, first_cell=d.first_cell, first_gene=d.first_gene)
+    x = star.x(spark, sf).where((F.col(CELL) < d.first_cell + 300) & (F.col(GENE) < d.first_gene + 40))
+    return layout.from_dense(layout.dense_rows(x, star.obs(spark, sf).where(F.col(CELL) < d.first_cell + 300), few), d.first_gene)
+
+
+@query("SELECT CAST(floor(cell_idx / 5000) AS BIGINT) AS chunk, count(*) AS nnz, sum(value) AS total FROM x GROUP BY 1", "x")
+def O_cvt_chunk_split(spark, sf):
+    return layout.chunked(star.x(spark, sf), 5000).groupBy("chunk").agg(F.count(F.lit(1)).alias("nnz"), F.sum(VALUE).alias("total"))
+
+
+@query("SELECT * FROM x", "x")
+def O_cvt_chunk_merge(spark, sf):
+    return layout.merged(layout.chunked(star.x(spark, sf), 5000))
+
+
+@query("SELECT gene_idx AS cell_idx, cell_idx AS gene_idx, value FROM x", "x")
+def O_cvt_transpose_dgc(spark, sf):
+    return layout.transposed(star.x(spark, sf))
+
+
+again("O_src_dgc", "O_cvt_transpose_dgc")
+
+
+# counts
+
+
+@query("SELECT count(*) AS nnz FROM x", "x")
+def O_agg_nnz(spark, sf):
+    return aggregate.nnz(star.x(spark, sf))
+
+
+@query("SELECT round(1 - count(*) / any_value(n * m * 1.0), 6) AS sparsity FROM x, d", "x", "d")
+def O_agg_sparsity(spark, sf):
+    return rounded(aggregate.matrix_sparsity(star.x(spark, sf), star.dims(spark, sf)).select("sparsity"), "sparsity")
+
+
+@query("SELECT round(100 * (1 - count(*) / any_value(n * m * 1.0)), 6) AS percent FROM x, d", "x", "d")
+def O_agg_sparsity_insp(spark, sf):
+    return rounded(aggregate.matrix_sparsity(star.x(spark, sf), star.dims(spark, sf)).select("percent"), "percent")
+
+
+@query("SELECT round(1 - count(*) / any_value(n * m * 1.0), 6) AS by_value FROM x, d WHERE value <> 0", "x", "d")
+def O_agg_sparsity_x(spark, sf):
+    return rounded(aggregate.matrix_sparsity(star.x(spark, sf), star.dims(spark, sf), dense=True).select("by_value"), "by_value")
+
+
+@query("SELECT count(*) * 16 + (any_value(n) + 1) * 8 AS csr_bytes, count(*) * 16 + (any_value(m) + 1) * 8 AS csc_bytes, 2 * (count(*) * 16 + (any_value(n) + 1) * 8) AS csr_peak_bytes, 2 * (count(*) * 16 + (any_value(m) + 1) * 8) AS csc_peak_bytes FROM x, d", "x", "d")
+def O_agg_mem(spark, sf):
+    return aggregate.memory(star.x(spark, sf), star.dims(spark, sf))
+
+
+@query("SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2")
+def O_agg_contingency(spark, sf):
+    return aggregate.contingency(star.obs(spark, sf), "o_orderstatus", "o_orderpriority")
+
+
+# comparison
+
+
+def _metrics(spark, sf) -> DataFrame:
+    x = star.x(spark, sf)
+    return compare.matrix_accuracy(x, star.other(x), star.dims(spark, sf))
+
+
+def _metric(name: str, sql: str) -> None:
+    def run(spark, sf):
+        return rounded(_metrics(spark, sf).select(name), name)
+
+    run.__name__ = {"pearson": "O_cmp_pearson", "mse": "O_cmp_mse", "exact": "O_cmp_exact", "mae": "O_cmp_mae", "max_error": "O_cmp_max", "mre": "O_cmp_mre", "sparsity_kept": "O_cmp_sparsity_kept"}[name]
+    query(f"SELECT round({sql}, 6) AS {name} FROM p, (SELECT n * m * 1.0 AS t FROM d)", "x", "y", "d", "p")(run)
+
+
+_metric("pearson", "(sum(a * b) - sum(a) * sum(b) / any_value(t)) / sqrt((sum(a * a) - sum(a) * sum(a) / any_value(t)) * (sum(b * b) - sum(b) * sum(b) / any_value(t)))")
+_metric("mse", "sum((a - b) * (a - b)) / any_value(t)")
+_metric("exact", "(count(CASE WHEN abs(a - b) < 2.220446049250313e-16 THEN 1 END) + any_value(t) - count(*)) / any_value(t)")
+_metric("mae", "sum(abs(a - b)) / any_value(t)")
+_metric("max_error", "max(abs(a - b))")
+_metric("mre", "avg(CASE WHEN abs(a) > 1e-10 THEN abs(a - b) / abs(a) END)")
+_metric("sparsity_kept", "1 - abs(count(CASE WHEN in_a THEN 1 END) - count(CASE WHEN in_b THEN 1 END)) / any_value(t)")
+again("O_cmp_x_format", "O_cmp_pearson")
+again("O_cmp_sample", "O_cmp_pearson")
+
+
+@query("SELECT false AS passed FROM d", "d")
+def O_cmp_gate(spark, sf):
+    return compare.meets(_metrics(spark, sf), 1e-7).select("passed")
+
+
+@query("SELECT true AS passed FROM d", "d")
+def O_cmp_full(spark, sf):
+    ds = star.dataset(spark, sf)
+    return compare.full_accuracy(ds, ds).select("passed")
+
+
+LABELS = """k AS (SELECT quality AS a, toxic AS b, count(*) * 1.0 AS n FROM labels GROUP BY 1, 2), ka AS (SELECT a, sum(n) AS n FROM k GROUP BY a), kb AS (SELECT b, sum(n) AS n FROM k GROUP BY b),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM k) AS ij, (SELECT sum(n * (n - 1) / 2) FROM ka) AS i, (SELECT sum(n * (n - 1) / 2) FROM kb) AS j, (SELECT sum(n) FROM k) AS t,
+ (SELECT sum(n * ln(n)) FROM k) AS lij, (SELECT sum(n * ln(n)) FROM ka) AS li, (SELECT sum(n * ln(n)) FROM kb) AS lj)"""
+CTE["labels"] = LABELS
+
+
+@query("SELECT round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari FROM s", "labels")
+def O_cmp_ari(spark, sf):
+    return rounded(compare.label_agreement(spark.read.parquet(f"{sf}/labels.parquet"), "quality", "toxic").select("ari"), "ari")
+
+
+@query("SELECT round(2 * (ln(t) + (lij - li - lj) / t) / (2 * ln(t) - li / t - lj / t), 6) AS nmi FROM s", "labels")
+def O_cmp_nmi(spark, sf):
+    return rounded(compare.label_agreement(spark.read.parquet(f"{sf}/labels.parquet"), "quality", "toxic").select("nmi"), "nmi")
+
+
+@query("SELECT count(CASE WHEN NOT in_b THEN 1 END) AS only_a, count(CASE WHEN NOT in_a THEN 1 END) AS only_b, max(CASE WHEN in_a AND in_b THEN abs(a - b) END) AS max_difference, false AS passed FROM p", "x", "y", "p")
+def O_cmp_matrix(spark, sf):
+    x = star.x(spark, sf)
+    return compare.matrices_equal(x, star.other(x), 1e-7)
+
+
+@query(
+    "SELECT 'o_orderpriority' AS \"column\", 0 AS mismatches, 0.0::DOUBLE AS max_difference, true AS passed UNION ALL SELECT 'o_orderstatus', (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0), 0.0, (SELECT count(*) = 0 FROM orders WHERE o_orderkey % 5 = 0) UNION ALL SELECT 'o_totalprice', (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0), 0.25, (SELECT count(*) = 0 FROM orders WHERE o_orderkey % 3 = 0)"
+)
+def O_cmp_df(spark, sf):
+    a = star.obs(spark, sf).select(CELL, "o_orderstatus", "o_orderpriority", "o_totalprice")
+    b = a.withColumn("o_orderstatus", F.when(F.col(CELL) % 5 == 0, "?").otherwise(F.col("o_orderstatus"))).withColumn("o_totalprice", F.when(F.col(CELL) % 3 == 0, F.col("o_totalprice") + 0.25).otherwise(F.col("o_totalprice")))
+    return rounded(compare.tables_equal(a, b, CELL, 1e-7), "max_difference")
+
+
+@query("SELECT 'missing' AS kind, 'o_custkey' AS \"column\" UNION ALL SELECT 'extra', 'extra' UNION ALL SELECT 'retyped', 'o_totalprice'")
+def O_cmp_meta(spark, sf):
+    a = star.obs(spark, sf)
+    b = a.drop("o_custkey").withColumn("extra", F.lit(1)).withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
+    found = compare.metadata_accuracy(a, b)
+    return spark.createDataFrame([(k, c) for k, v in found.items() for c in v], "kind string, column string")
+
+
+again("O_except_cols", "O_cmp_meta")
+EMB = "e AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS a, generate_subscripts(embedding, 1) AS i, vec_id FROM embeddings), f AS (SELECT a, CASE WHEN (vec_id + i) % 10 = 0 THEN a + 0.125 ELSE a END AS b FROM e)"
+CTE["emb"] = EMB
+
+
+def _embeddings(spark, sf):
+    a = star.obsm(spark, sf)
+    b = a.withColumn("vec", F.transform("vec", lambda v, i: F.when((F.col(CELL) + i + 1) % 10 == 0, v + 0.125).otherwise(v)))
+    return a, b
+
+
+@query("SELECT 'X_emb' AS name, count(*) AS n, round(avg(abs(a - b)), 6) AS mean_error, round(max(abs(a - b)), 6) AS max_error, round(corr(a, b), 6) AS pearson FROM f", "emb")
+def O_cmp_emb_acc(spark, sf):
+    return rounded(compare.embeddings_accuracy(*_embeddings(spark, sf)), "mean_error", "max_error", "pearson")
+
+
+@query("SELECT 'X_emb' AS name, 0 AS only_a, 0 AS only_b, 0 AS shape_differs, round(max(abs(a - b)), 6) AS max_difference, false AS passed FROM f", "emb")
+def O_cmp_emb(spark, sf):
+    return rounded(compare.embeddings_equal(*_embeddings(spark, sf), 1e-7), "max_difference")
+
+
+@query("SELECT layer, count(CASE WHEN (cell_idx * 31 + gene_idx) % 11 = 0 THEN 1 END) AS only_a, 0 AS only_b, max(CASE WHEN (cell_idx * 31 + gene_idx) % 11 <> 0 AND (cell_idx + gene_idx) % 7 = 0 THEN 0.5 ELSE 0 END)::DOUBLE AS max_difference, false AS passed FROM l GROUP BY layer", "l")
+def O_cmp_layers(spark, sf):
+    a = star.layers(spark, sf)
+    return compare.grouped_equal(a, star.other(a), "layer", (CELL, GENE), 1e-7)
+
+
+@query("SELECT 'g' AS name, count(*) FILTER (WHERE (s * 31 + p) % 11 = 0) AS only_a, 0 AS only_b, 0.0::DOUBLE AS max_difference, count(*) FILTER (WHERE (s * 31 + p) % 11 = 0) = 0 AS passed FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)")
+def O_cmp_pairwise(spark, sf):
+    g = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.lit("g").alias("name"), F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.avg("l_discount").alias(VALUE))
+    return compare.grouped_equal(g, g.where((F.col("i") * 31 + F.col("j")) % 11 != 0), "name", ("i", "j"), 1e-7)
+
+
+DATASET = "SELECT component, passed FROM (VALUES ('expression', false), ('obs', true), ('var', true), ('layers', true), ('obsm', true)) t(component, passed)"
+
+
+@query(DATASET)
+def O_cmp_dataset(spark, sf):
+    ds = star.dataset(spark, sf)
+    return compare.compare(ds, ds.with_(x=star.other(ds.x))).frame(spark).select("component", "passed")
+
+
+for name in ("O_cmp_x_validate", "O_cmp_roundtrip", "O_chk_report"):
+    again(name, "O_cmp_dataset")
+
+
+# checks
+
+
+@query("SELECT component, true AS passed FROM (VALUES ('obs.cell_idx'), ('var.gene_idx'), ('x.cell_idx'), ('x.gene_idx')) t(component)")
+def O_chk_dims(spark, sf):
+    ds = star.dataset(spark, sf).with_(obsm=None, layers=None, layer_dims={})
+    return check.dimensions(ds).select("component", "passed")
+
+
+@query("SELECT 0 AS cell_out_of_bounds, 0 AS gene_out_of_bounds, 0 AS null_entries, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM x) AS duplicates, (SELECT count(*) FROM lineitem) = (SELECT count(*) FROM x) AS passed", "x")
+def O_chk_sparse(spark, sf):
+    raw = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias(CELL), F.col("l_partkey").alias(GENE), F.col("l_quantity").alias(VALUE))
+    return check.sparse_errors(raw, star.dims(spark, sf))
+
+
+@query("SELECT 0 AS problems")
+def O_chk_required(spark, sf):
+    return spark.createDataFrame([(len(check.required(star.dataset(spark, sf))),)], "problems long")
+
+
+@query("SELECT component, n FROM (VALUES ('obs', 12), ('var', 1)) t(component, n)")
+def O_chk_schema(spark, sf):
+    found = check.schema(star.dataset(spark, sf))
+    return spark.createDataFrame([("obs", len(found.missing_obs)), ("var", len(found.missing_var))], "component string, n int")
+
+
+@query("SELECT 'l_discount' AS name, true AS hdf5, true AS r UNION ALL SELECT 'embedding', false, false")
+def O_chk_types(spark, sf):
+    rows = check.types(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_discount")) + check.types(spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding"))
+    return spark.createDataFrame([(n, h, r) for n, _, h, r in rows], "name string, hdf5 boolean, r boolean")
+
+
+# layers
+
+
+@query("SELECT 'counts' AS layer, cell_idx + n * CASE layer WHEN 'counts.A' THEN 0 WHEN 'counts.N' THEN 1 ELSE 2 END AS cell_idx, gene_idx, value FROM l, d", "l", "d")
+def O_union_layers(spark, sf):
+    ds = star.dataset(spark, sf)
+    return layers.merge(ds.layers, ds.layer_dims)[0]
+
+
+@query("SELECT layer, cell_idx + n * CASE layer WHEN 'counts.A' THEN 0 WHEN 'counts.N' THEN 1 ELSE 2 END AS cell_idx, gene_idx, value FROM l, d", "l", "d")
+def O_pad_layers(spark, sf):
+    ds = star.dataset(spark, sf)
+    return layers.pad(ds.layers, ds.layer_dims)[0]
+
+
+@query("SELECT cell_idx + n * k AS cell_idx, gene_idx, value FROM x, d, (VALUES (0), (1)) t(k)", "x", "d")
+def O_union_rows(spark, sf):
+    x, d = star.x(spark, sf), star.dims(spark, sf)
+    return layers.stack([(x, d.n_cells, d.n_genes)] * 2)
+
+
+again("O_concat_arrays", "O_union_rows")
+
+
+@query("SELECT cell_idx, gene_idx + m * k AS gene_idx, value FROM x, d, (VALUES (0), (1)) t(k)", "x", "d")
+def O_union_cols(spark, sf):
+    x, d = star.x(spark, sf), star.dims(spark, sf)
+    return layers.stack([(x, d.n_cells, d.n_genes)] * 2, axis=1)
+
+
+@query("SELECT layer, row_number() OVER (ORDER BY layer) - 1 AS place FROM (SELECT DISTINCT 'counts.' || (l_linenumber + 7) AS layer FROM lineitem)")
+def O_sort_suffix(spark, sf):
+    found = [r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("counts."), (F.col("l_linenumber") + 7).cast("string"))).distinct().collect()]  # names of layers
+    return spark.createDataFrame([(n, i) for i, n in enumerate(layers.groups(dict.fromkeys(found, (1, 1)))["counts"])], "layer string, place long")
+
+
+@query("SELECT * FROM l WHERE layer = 'counts.N'", "l")
+def O_src_assay5(spark, sf):
+    return star.layers(spark, sf).where("layer = 'counts.N'")
+
+
+@query("SELECT 'counts' AS layer")
+def O_src_main_layer(spark, sf):
+    return spark.createDataFrame([(layers.main_layer(["data", "scale", "counts"]),)], "layer string")
+
+
+@query("SELECT 'X_counts.A' AS name, cell_idx, gene_idx, value FROM l, d WHERE layer = 'counts.A' AND cell_idx < c0 + 200 AND gene_idx < 40", "l", "d")
+def O_snk_split_dims(spark, sf):
+    ds = star.dataset(spark, sf)
+    few = ds.layers.where((F.col(CELL) < ds.dims.first_cell + 200) & (F.col(GENE) < 40))
+    full = (ds.dims.n_cells, ds.dims.n_genes)
+    rows = layers.split_by_extent(few, {"counts.A": (200, 40), "counts.N": full, "counts.R": full}, full)[1]
+    return rows.select("name", CELL, F.posexplode("vec").alias("g", VALUE)).where(f"{VALUE} <> 0").select("name", CELL, F.col("g").cast("long").alias(GENE), VALUE)
+
+
+# order
+
+
+@query("SELECT p_brand, p_name, p_partkey, p_retailprice, p_size, p_type, p_partkey AS gene_idx FROM part")
+def O_sort_columns(spark, sf):
+    return select.sorted_columns(star.var(spark, sf), GENE)
+
+
+# functions
+
+SPECIAL = "[] \\t\\n\\r/\\\\:*?\"<>|()[{}!@#$%^&+=;,''`~]"
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS name FROM part")
+def O_fn_sanitize(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", names.sanitised_column(F.col("p_name")).alias("name"))
+
+
+@query("SELECT * FROM (VALUES (0, 'a'), (1, 'b'), (2, 'a_dup2'), (3, 'a_dup3')) t(place, name)")
+def O_fn_dedup(spark, sf):
+    return spark.createDataFrame(list(enumerate(names.without_repeats(["a", "b", "a", "a"]))), "place int, name string")
+
+
+@query("SELECT 256 AS bytes, 128 AS characters")
+def O_fn_truncate(spark, sf):
+    cut = names.truncated("é" * 200)
+    return spark.createDataFrame([(len(cut.encode()), len(cut))], "bytes int, characters int")
+
+
+def _messy(spark, sf):
+    ds = star.dataset(spark, sf)
+    return ds.with_(obs=ds.obs.withColumnRenamed("o_orderstatus", "order status").withColumnRenamed("o_custkey", "1key"))
+
+
+@query("SELECT * FROM (VALUES ('obs', 'order status', 'special_characters', 'info', 'order_status'), ('obs', '1key', 'numeric_start', 'info', 'X1key')) t(component, \"column\", kind, severity, fix)")
+def O_fn_issues(spark, sf):
+    return diagnose.frame(diagnose.issues(_messy(spark, sf)), spark)
+
+
+@query("SELECT o_orderkey AS cell_idx, o_orderstatus AS order_status, o_custkey AS X1key FROM orders")
+def O_fn_clean(spark, sf):
+    return diagnose.clean(_messy(spark, sf)).obs.select(CELL, "order_status", "X1key")
+
+
+@query("SELECT * FROM (VALUES ('obs', '1key', 'X1key'), ('obs', 'order status', 'order_status')) t(component, \"from\", \"to\")")
+def O_fn_audit(spark, sf):
+    log = diagnose.read_audit(diagnose.audit(diagnose.clean(_messy(spark, sf))))
+    return spark.createDataFrame([(m["component"], m["from"], m["to"]) for m in log], "component string, from string, to string")
+
+
+@query("SELECT l_quantity::INTEGER AS l_quantity, l_discount FROM lineitem")
+def O_fn_dtype(spark, sf):
+    from tesserae.functions import dtypes
+
+    return dtypes.integers_restored(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_quantity", "l_discount"))
+
+
+@query("SELECT s_suppkey, CASE WHEN b < 1024 THEN b || ' B' ELSE printf('%.2f KB', b / 1024.0) END AS size FROM (SELECT s_suppkey, s_suppkey * 100 AS b FROM supplier) WHERE b < 1048576")
+def O_fn_bytes(spark, sf):
+    n = F.col("s_suppkey") * 100
+    return spark.read.parquet(f"{sf}/supplier.parquet").where(n < 1048576).select("s_suppkey", text.size_column(n).alias("size"))
+
+
+@query("SELECT * FROM (VALUES (5.25, '5.2s'), (75.0, '1m 15s'), (3700.0, '1h 1m')) t(seconds, shown)")
+def O_fn_duration(spark, sf):
+    return spark.createDataFrame([(s, text.duration(s)) for s in (5.25, 75.0, 3700.0)], "seconds double, shown string")
+
+
+@query("SELECT o_orderkey, format('{:,}', o_orderkey * 1000) AS shown FROM orders")
+def O_fn_number(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", text.number_column(F.col("o_orderkey") * 1000).alias("shown"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def O_fn_uns(spark, sf):
+    from tesserae.functions import dtypes
+
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", dtypes.nested("props", "$.k").alias("k"))
+
+
+# chunks
+
+
+@query("SELECT CAST(floor(cell_idx / 1000) AS BIGINT) AS chunk, count(*) AS nnz, sum(value) AS total, max(value) AS largest FROM x GROUP BY 1", "x")
+def O_udf_chunk(spark, sf):
+    import pandas as pd
+
+    def summary(chunk: int, entries: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [chunk], "nnz": [len(entries)], "total": [entries[VALUE].sum()], "largest": [entries[VALUE].max()]})
+
+    return layout.process_chunks(star.x(spark, sf), 1000, summary, "chunk long, nnz long, total double, largest double")
+
+
+again("O_str_process", "O_udf_chunk")
+
+
+@query("SELECT count(*) AS rows, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS whole FROM orders")
+def O_str_order(spark, sf):
+    return star.obs(spark, sf).agg(F.count(F.lit(1)).alias("rows"), (F.max(CELL) - F.min(CELL) + 1 == F.count(F.lit(1))).alias("whole"))
