@@ -192,9 +192,9 @@ def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: list[str], labels: list[int], weights: list[float], s: Settings = Settings()) -> Model:  # noqa: B008
     """Grow on three quarters of the rows, calibrate on the others. weights make up for how the labels were sampled."""
-    own = [i for i in range(len(texts)) if i % 4]
-    held = [i for i in range(len(texts)) if i % 4 == 0]
-    if len(set(labels)) < 2 or len(held) < 4:
+    dealt = np.random.default_rng(s.seed).permutation(len(texts)).tolist()
+    held, own = sorted(dealt[: len(texts) // 4]), sorted(dealt[len(texts) // 4 :])
+    if len(set(labels)) < 2 or len(held) < 4 or len({labels[i] for i in own}) < 2:
         own = held = list(range(len(texts)))
     lexicon = learn_lexicon([texts[i] for i in own], [labels[i] for i in own], s)
     model = Model(lexicon, s.near, rate=s.rate)
