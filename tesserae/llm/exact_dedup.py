@@ -47,7 +47,7 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, batch_bytes: int
     source = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
     conf, before = spark.conf, {}
     # read when a query starts; put back at once
-    own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     for k, v in own.items():
         before[k] = conf.get(k, None)
         conf.set(k, v)
