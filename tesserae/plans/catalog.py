@@ -543,3 +543,144 @@ again("O_str_process", "O_udf_chunk")
 @query("SELECT count(*) AS rows, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS whole FROM orders")
 def O_str_order(spark, sf):
     return star.obs(spark, sf).agg(F.count(F.lit(1)).alias("rows"), (F.max(CELL) - F.min(CELL) + 1 == F.count(F.lit(1))).alias("whole"))
+
+
+# sources and sinks
+
+
+def _small(spark, sf):
+    """The first 200 cells, from 0, with every gene."""
+    ds = star.dataset(spark, sf)
+    few = spark.range(200).select((F.col("id") + ds.dims.first_cell).alias(CELL))
+    obs = ds.obs.select(CELL, "o_orderstatus", "o_totalprice").withColumn("_index", F.col(CELL).cast("string"))
+    var = ds.var.select(GENE, "p_size").withColumn("_index", F.col(GENE).cast("string"))
+    return select.keep_cells(ds.with_(obs=obs, var=var, layers=None, layer_dims={}, obsm=None), few)
+
+
+def _written(spark, sf, write, read, name: str):
+    from tempfile import mkdtemp
+
+    path = f"{mkdtemp()}/{name}"
+    write(_small(spark, sf), path)
+    return read(spark, path)
+
+
+SMALL_X = "SELECT k AS cell_idx, gene_idx, value FROM x JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) o ON cell_idx = o_orderkey WHERE k < 200"
+SMALL_OBS = "SELECT k AS cell_idx, o_orderstatus, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k < 200"
+
+
+def _file(kind: str):
+    from tesserae.sources import rds
+
+    return (lambda ds, p: rds.write(ds, p, kind)), rds.read, f"x.{kind}.rds"
+
+
+@query(SMALL_X, "x")
+def O_src_seurat_direct(spark, sf):
+    return _written(spark, sf, *_file("seurat")).x
+
+
+@query(SMALL_X, "x")
+def O_src_sce(spark, sf):
+    return _written(spark, sf, *_file("sce")).x
+
+
+@query(SMALL_OBS)
+def O_snk_seurat(spark, sf):
+    return _written(spark, sf, *_file("seurat")).obs.select(CELL, "o_orderstatus", "o_totalprice")
+
+
+@query(SMALL_OBS)
+def O_snk_sce(spark, sf):
+    return _written(spark, sf, *_file("sce")).obs.select(CELL, "o_orderstatus", "o_totalprice")
+
+
+for name in ("O_src_seurat_simplified", "O_src_rds"):
+    again(name, "O_src_seurat_direct")
+for name in ("O_snk_rds", "O_snk_assay5", "O_snk_simplify"):
+    again(name, "O_snk_seurat")
+
+
+@query("SELECT 'V5' AS version")
+def O_src_seurat_ver(spark, sf):
+    return spark.createDataFrame([(_written(spark, sf, *_file("seurat")).dims.source_version,)], "version string")
+
+
+def _bundle():
+    from tesserae.sources import bundle
+
+    return bundle.write, bundle.read, "x.bundle"
+
+
+@query(SMALL_X, "x")
+def O_snk_stream(spark, sf):
+    return _written(spark, sf, *_bundle()).x
+
+
+@query("SELECT count(*) AS rows FROM part")
+def O_src_partial(spark, sf):
+    from tesserae.sources import bundle
+
+    write, _, name = _bundle()
+    ds = _written(spark, sf, write, lambda s, p: bundle.read(s, p, "metadata_only"), name)
+    return ds.var.agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT * FROM (SELECT 'obs' AS part, 200::BIGINT AS rows UNION ALL SELECT 'var', (SELECT count(*) FROM part) UNION ALL SELECT 'x', (SELECT count(*) FROM x JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) o ON cell_idx = o_orderkey WHERE k < 200))", "x")
+def O_src_inspect(spark, sf):
+    from tesserae.sources import bundle
+
+    write, _, name = _bundle()
+    return _written(spark, sf, write, bundle.inspect, name).select("part", "rows")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN substr('abc', CAST(o_orderkey % 4 AS INTEGER) + 1, 1) END AS code FROM orders")
+def O_src_h5ad_cat(spark, sf):
+    from tesserae.sources import bundle
+
+    t = star.obs(spark, sf).select("o_orderkey", F.when(F.col("o_orderkey") % 4 < 3, F.col("o_orderkey") % 4).otherwise(-1).alias("code"))
+    return bundle.decoded(t, "code", ["a", "b", "c"])
+
+
+again("O_snk_cat", "O_src_h5ad_cat")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders")
+def O_src_h5ad_null(spark, sf):
+    from tesserae.sources import bundle
+
+    return bundle.masked(star.obs(spark, sf).select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 3 == 0).alias("mask")), "o_totalprice", "mask")
+
+
+@query("SELECT 'X_umap' AS name, o_orderkey AS cell_idx, o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders")
+def O_src_loom_emb(spark, sf):
+    from tesserae.sources import loom
+
+    obs = star.obs(spark, sf).select(CELL, F.col("o_totalprice").alias("_X"), F.col("o_custkey").alias("_Y"))
+    return loom.embeddings(obs)[0].select("name", CELL, F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+
+
+@query("SELECT 'g' AS name, l_suppkey AS i, l_partkey AS j, coalesce(CASE WHEN l_linenumber > 1 THEN l_discount END, 1.0) AS value FROM lineitem WHERE l_suppkey < 60 AND l_partkey < 60")
+def O_src_loom_graph(spark, sf):
+    from tesserae.sources import loom
+
+    edges = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("w"))
+    return loom.graph(edges, 60, "g")
+
+
+@query("SELECT * FROM (VALUES ('a.sce.rds', 'sce'), ('b.rds', 'seurat'), ('c.bundle', 'bundle')) t(path, name)")
+def O_src_detect(spark, sf):
+    from tesserae.sources import registry
+
+    known = registry.default()
+    return spark.createDataFrame([(p, known.detect(p).name) for p in ("a.sce.rds", "b.rds", "c.bundle")], "path string, name string")
+
+
+@query("SELECT * FROM (VALUES ('bundle'), ('sce'), ('seurat')) t(name)")
+def O_src_registry(spark, sf):
+    from tesserae.sources import registry
+
+    return spark.createDataFrame([(n,) for n in registry.default().list()], "name string")
+
+
+again("O_udf_format", "O_src_registry")
