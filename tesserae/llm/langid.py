@@ -84,10 +84,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:  # noqa: B008
-    """Train on four fifths of the rows and calibrate on the others. At least one row with a letter is needed."""
+    """Train on four fifths of the rows and calibrate on the others. From no row with a letter comes a model that says ``und`` to all."""
     rows = [(letters(t), lang) for t, lang in zip(texts, langs, strict=True) if t and LETTER.search(t)]
     if not rows:
-        raise ValueError("no labelled text with a letter to learn from")
+        return Model([NO_LANGUAGE], np.zeros((1 << s.bits, 2), np.float32), np.zeros(1, np.float32), 1.0, 0.0, 0.0, s.bits)
     rng, languages = np.random.default_rng(s.seed), sorted({lang for _, lang in rows})
     code = {lang: i for i, lang in enumerate(languages)}
     own, held = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 50], [r for i, r in enumerate(rows) if i % 5 == 0]
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
         m = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            good = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            good = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m.languages != [NO_LANGUAGE] else []
             lang, score, bad = [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [True] * len(texts)
             z, share = class_scores([letters(texts[i]) for i in good], m)
             if good:
