@@ -18,7 +18,7 @@ def size(n: float) -> str:
 def size_column(c: Column) -> Column:
     out = F.concat(c.cast("long").cast("string"), F.lit(" B"))
     for i in range(1, len(UNITS)):
-        out = F.when(c >= 1024**i, F.format_string(f"%.2f {UNITS[i]}", c / float(1024**i))).otherwise(out)
+        out = F.when(c >= 1024**i, F.format_string(f"%.2f {UNITS[i]}", F.bround(c / float(1024**i), 2))).otherwise(out)
     return out
 
 
