@@ -135,7 +135,8 @@ class Parts:
         self.dims = {k: tuple(reversed(sparse(v)[3])) for k, v in self.layers.items()}  # cells, genes
 
     def head(self) -> dict:
-        return {"kind": self.kind, "version": self.version, "assay": self.assay, "layer_dims": self.dims}
+        there = [t for t in TABLES if any(len(f) for f in self.table(t))]
+        return {"tables": there, "kind": self.kind, "version": self.version, "assay": self.assay, "layer_dims": self.dims}
 
     def matrix(self) -> Iterator[pd.DataFrame]:
         for name, v in self.layers.items():
@@ -220,7 +221,7 @@ def read(spark: SparkSession, path: str, keep_layers: bool = False) -> Dataset:
 
     info = json.loads(files.mapInArrow(head, "head string").first()[0])
     layer_dims = {k: tuple(v) for k, v in info["layer_dims"].items()}
-    tables = {t: _component(files, s, lambda p, t=t: p.table(t)) for t, s in TABLES.items()}
+    tables = {t: _component(files, s, lambda p, t=t: p.table(t)) if t in info["tables"] or t == "layers" else None for t, s in TABLES.items()}
     obs, var = (_component(files, info[t], lambda p, t=t: iter([getattr(p, t)()])) for t in ("obs", "var"))
     matrices, layer_dims = (split.pad if keep_layers else split.merge)(tables["layers"], layer_dims)
     order = ("counts", "logcounts") if info["kind"] == "sce" else ("counts", "data")
