@@ -11,9 +11,9 @@
 * Each bucket compares its members with a pivot, its smallest node, by exact weighted Jaccard similarity
   over the whole texts. Buckets whose other members aren't all in one component go on with the
   untried member that is most similar to the last pivot, the likely origin of the others. After a few rounds
-  what is left open compares all members of different components that the triangle inequality does not
-  rule out (1 - weighted Jaccard is a metric). So no link within a bucket is lost, and a bucket
-  of copies of one text never makes all its pairs.
+  the members outside the largest component of a bucket that is still open are compared with all of its
+  members, block by block: a task has two blocks of bounded size and returns a spanning set of
+  links. So no link within a bucket is lost, and no pair is a row unless it was a pivot's.
 * Components are found by alternating large-star and small-star steps.
 """
 
@@ -46,7 +46,7 @@ class Settings:
     band_rows: int = 4
     frequency_bits: int = 18
     table_bits: int = 15
-    rounds: int = 3
+    rounds: int = 2
     seed: int = 1
 
 
@@ -98,9 +98,10 @@ def _summed(s: Settings):
 
 
 def idf(texts: DataFrame, s: Settings) -> np.ndarray:
-    """1 + ln((1 + documents) / (1 + documents of the bucket)) for each bucket, over every text of the one column.
+    """1 + ln((1 + documents) / (1 + documents of the bucket)) / ln(2 + documents) for each bucket, over every text of the one column.
 
-    Tasks count into tables of one fixed size, which are summed in two more steps; the driver adds up a few.
+    Scaled to run from 1 to 2, so that what a large group of copies shares still outweighs what tells two of
+    them apart, and a similarity means much the same in groups of two and of thousands. Tasks count into tables of one fixed size, which are summed in two more steps; the driver adds up a few.
     """
     spark = texts.sparkSession
     parts = texts.mapInArrow(_counted(s), "counts binary, n long")
@@ -109,7 +110,7 @@ def idf(texts: DataFrame, s: Settings) -> np.ndarray:
     for row in few.toLocalIterator():
         total += np.frombuffer(pa.decompress(row["counts"], 8 << s.frequency_bits, "zstd", asbytes=True), "<i8")
         n += row["n"]
-    return (1 + np.log((1 + n) / (1 + total))).astype(np.float32)
+    return (1 + np.log((1 + n) / (1 + total)) / np.log(2 + n)).astype(np.float32)
 
 
 def weights(h: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -203,6 +204,63 @@ def _compared(table, s: Settings):
     return run
 
 
+def _elements(text: str, table: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set as a plain set: a shingle that is there n times as n elements. Sums of shared elements' weights are sums of smaller weights."""
+    h, counts = shingles(text, s.words)
+    w = weights(h, np.ones(len(h), np.int64), table)
+    rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    e = (np.repeat(h, counts) + rank.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    return e, np.repeat(w, counts)
+
+
+def similar_between(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """Index pairs of sets of a and of b whose weighted Jaccard similarity is ``least`` or more: exact, by shared elements."""
+    of = [np.repeat(np.arange(len(x)), [len(e) for e, _ in x]) for x in (a, b)]
+    flat = [np.concatenate([e for e, _ in x] or [np.zeros(0, np.uint64)]) for x in (a, b)]
+    heavy = np.concatenate([w for _, w in a] or [np.zeros(0, np.float32)])
+    order = [np.argsort(e, kind="stable") for e in flat]
+    flat, of, heavy = [e[o] for e, o in zip(flat, order, strict=True)], [i[o] for i, o in zip(of, order, strict=True)], heavy[order[0]]
+    both = np.intersect1d(*flat)
+    lo_a, hi_a, lo_b, hi_b = (np.searchsorted(flat[k], both, side) for k in (0, 1) for side in ("left", "right"))
+    shared = np.zeros((len(a), len(b)))
+    single = (hi_a - lo_a == 1) & (hi_b - lo_b == 1)
+    np.add.at(shared, (of[0][lo_a[single]], of[1][lo_b[single]]), heavy[lo_a[single]])
+    for i, j, k, m in zip(*(x[~single].tolist() for x in (lo_a, hi_a, lo_b, hi_b)), strict=True):
+        shared[of[0][i:j, None], of[1][None, k:m]] += heavy[i]  # a set has an element once
+    total = [np.array([w.sum(dtype=np.float64) for _, w in x]) for x in (a, b)]
+    either = total[0][:, None] + total[1][None, :] - shared
+    return np.argwhere((shared >= least * either) & (either > 0))
+
+
+BLOCK = "array<struct<node: binary, label: binary, text: string>>"
+
+
+def _between_blocks(table, s: Settings):
+    """Of pairs of blocks (lists of node, label, text): links that join different labels, as few as join them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[bytes, bytes]] = []
+            for q, m in zip(batch.column(0), batch.column(1), strict=True):
+                q, m = q.as_py(), m.as_py()
+                made = {r["node"]: _elements(r["text"], table.value, s) for r in q + m}
+                top: dict[bytes, bytes] = {}
+
+                def root(x: bytes) -> bytes:
+                    while top.setdefault(x, x) != x:
+                        top[x] = x = top[top[x]]
+                    return x
+
+                for i, j in similar_between([made[r["node"]] for r in q], [made[r["node"]] for r in m], s.similar).tolist():
+                    x, y = root(q[i]["label"]), root(m[j]["label"])
+                    if x != y:
+                        top[y] = x
+                        links.append((q[i]["node"], m[j]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it is linked to, over any number of links) for every node of the edges (a, b).
 
@@ -236,61 +294,64 @@ def components(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Links:
-    """links: a, b, sim of linked nodes. labels: node, label of the nodes that have a link. tested: how many pairs were compared."""
+    """links: a, b of linked nodes, enough to join every component. labels: node, label of the nodes that have a link."""
 
     links: DataFrame
     labels: DataFrame
-    tested: int
 
 
 def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s: Settings) -> Links:
     """members: key, node of every bucket of two nodes or more."""
-    empty = spark.createDataFrame([], "a binary, b binary, sim double")
-    links, labels, tested = empty, spark.createDataFrame([], "node binary, label binary"), 0
-    all_tested = empty.select("a", "b")
+    links = spark.createDataFrame([], "a binary, b binary")
+    labels, all_tested = spark.createDataFrame([], "node binary, label binary"), links
+    known = texts.withColumn("size", F.length("text"))
 
     def compare(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct().join(all_tested, ["a", "b"], "left_anti")
         left = pairs.join(texts.toDF("a", "text_a"), "a")
         return stored(left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_compared(table, s), "a binary, b binary, sim double"), "near-tested")
 
-    def similarity(m: DataFrame, done: DataFrame) -> DataFrame:
-        """m with d, the distance of each member from the bucket's pivot where that was measured."""
-        return m.join(done.toDF("node", "pivot", "sim").union(done.select("b", "a", "sim").toDF("node", "pivot", "sim")), ["node", "pivot"], "left")
-
-    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"))
-    open_ = members.join(pivots, "key").withColumn("used", F.lit(False))
-    open_ = open_.withColumn("label", F.col("node"))
-    for turn in range(s.rounds + 1):
-        if turn < s.rounds:
-            pairs = open_.where("node <> pivot AND label <> pivot_label" if turn else "node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"))
-        else:  # the rest: all that may be similar
-            # a pair within s apart lies in neighbouring bins of the distance from a pivot; an unmeasured distance fits any
-            m = open_.where("NOT used").select("key", "node", "label", "d")
-            n = m.select("key", F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("d").alias("y_d"))
-            near = F.col("d").isNull() | F.col("y_d").isNull() | (F.abs(F.col("d") - F.col("y_d")) <= 1 - s.similar + 1e-6)
-            pairs = m.join(n, "key").where((F.col("node") < F.col("y")) & (F.col("label") != F.col("y_label")) & near).select(F.col("node").alias("x"), "y")
+    def joined(new: DataFrame) -> DataFrame:
+        return components(labels.toDF("a", "b").union(new.select("a", "b"))).checkpoint()
+
+    open_ = members.join(members.groupBy("key").agg(F.min("node").alias("pivot")), "key").withColumns({"used": F.lit(False), "label": F.col("node")})
+    for turn in range(s.rounds):
+        pairs = open_.where("node <> pivot AND label <> pivot_label" if turn else "node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"))
         done = compare(pairs)
-        tested += done.count()
         all_tested = all_tested.union(done.select("a", "b"))
         new = done.where(F.col("sim") >= s.similar)
         if not new.isEmpty():
-            links = links.union(new)
-            labels = components(labels.toDF("a", "b").union(new.select("a", "b"))).checkpoint()
-        if turn == s.rounds:
-            break
+            links = links.union(new.select("a", "b"))
+            labels = joined(new)
         # buckets whose members, but for the pivots, aren't all of one component
-        m = open_.drop("label", "pivot_label", "d").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("used", F.col("used") | (F.col("node") == F.col("pivot")))
+        m = open_.drop("label", "pivot_label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("used", F.col("used") | (F.col("node") == F.col("pivot")))
         keys = m.where("NOT used").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        m = similarity(m.join(keys, "key", "left_semi"), done)
+        sims = done.toDF("node", "pivot", "sim").union(done.select("b", "a", "sim").toDF("node", "pivot", "sim"))
+        m = m.join(keys, "key", "left_semi").join(sims, ["node", "pivot"], "left")
         best = m.where("NOT used").groupBy("key").agg(F.max_by(F.struct("node", "label"), F.struct(F.coalesce("sim", F.lit(0.0)), "node")).alias("next"))
-        m = m.withColumn("d", 1 - F.col("sim")).drop("sim")
-        if turn + 1 < s.rounds:
-            m = m.drop("pivot").join(best.select("key", F.col("next.node").alias("pivot"), F.col("next.label").alias("pivot_label")), "key")
-        open_ = m.checkpoint()
+        open_ = m.drop("pivot", "sim").join(best.select("key", F.col("next.node").alias("pivot"), F.col("next.label").alias("pivot_label")), "key").checkpoint()
         if open_.isEmpty():
-            break
-    return Links(links, labels, tested)
+            return Links(links, labels)
+    # the rest: members outside a bucket's largest component against all members, block by block
+    m = open_.where("NOT used").select("key", "node", "label").join(known.select("node", "size"), "node")
+    counts = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    m = m.join(main, "key").withColumn("outside", F.col("label") != F.col("main")).checkpoint()
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        """key, <name> (number) and <name>_rows; about 256 texts or a million characters a block."""
+        sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / 256), F.ceil(F.sum("size") / 1_000_000)).alias("blocks"))
+        dealt = rows.join(sizes, "key").withColumn(name, F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+        return stored(dealt.join(texts, "node").groupBy("key", name).agg(F.collect_list(F.struct("node", "label", "text")).alias(f"{name}_rows")), "near-blocks")
+
+    q, every = blocks(m.where("outside"), "q"), blocks(m, "e")
+    # numbers first, so that a bucket of many blocks is spread by block before any text is attached
+    both = q.select("key", "q").join(every.select("key", "e"), "key")
+    both = both.join(every, ["key", "e"]).join(q, ["key", "q"]).select(F.col("q_rows").cast(BLOCK), F.col("e_rows").cast(BLOCK))
+    new = stored(both.mapInArrow(_between_blocks(table, s), "a binary, b binary"), "near-rest")
+    if not new.isEmpty():
+        links, labels = links.union(new), joined(new)
+    return Links(links, labels)
 
 
 def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
