@@ -684,3 +684,38 @@ def O_src_registry(spark, sf):
 
 
 again("O_udf_format", "O_src_registry")
+
+
+@query(SMALL_X, "x")
+def O_src_anndata_obj(spark, sf):
+    from tesserae.sources import objects
+
+    return objects.from_anndata(spark, objects.to_pandas(_small(spark, sf))).x
+
+
+again("O_snk_anndata_obj", "O_src_anndata_obj")
+
+
+@query("SELECT 'g' AS name, l_suppkey AS i, l_suppkey + l_linenumber AS j, count(*)::DOUBLE AS value FROM lineitem GROUP BY ALL")
+def O_snk_pairwise(spark, sf):
+    from tempfile import mkdtemp
+
+    from tesserae.sources import bundle
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    graph = lines.groupBy(F.lit("g").alias("name"), F.col("l_suppkey").alias("i"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("j")).agg(F.count(F.lit(1)).cast("double").alias(VALUE))
+    path = f"{mkdtemp()}/x.bundle"
+    bundle.write(_small(spark, sf).with_(obsp=graph), path)
+    return bundle.read(spark, path).obsp.select("name", "i", "j", VALUE)
+
+
+@query("SELECT k AS cell_idx, gene_idx, value FROM x JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) o ON cell_idx = o_orderkey WHERE k >= 50 AND k < 100", "x")
+def O_snk_chunkstore(spark, sf):
+    from tempfile import mkdtemp
+
+    path = f"{mkdtemp()}/chunks"
+    layout.chunked(_small(spark, sf).x, 50).write.partitionBy("chunk").option("compression", "lz4").parquet(path)
+    return layout.merged(spark.read.parquet(path).where("chunk = 1"))
+
+
+again("O_src_chunkstore", "O_snk_chunkstore")
