@@ -36,7 +36,7 @@ MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: log2 of the buckets. sample: labelled rows fitted and calibrated on, at most. stretch: bytes of a training example."""
+    """bits: log2 of the buckets. sample: labelled rows fitted and calibrated on, at most. stretch: bytes of a training example. rejected: share of good texts rejected, at most. chance: probability that is never rejected, in multiples of a uniform guess."""
 
     bits: int = 16
     width: int = 16
@@ -46,6 +46,7 @@ class Settings:
     batch: int = 64
     rate: float = 0.5
     rejected: float = 0.0005
+    chance: float = 1.2
     seed: int = 7
 
 
@@ -135,8 +136,8 @@ def _calibrate(model: Model, held: list, code: dict, s: Settings, rng: np.random
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     best = _softmax(z / model.temperature).max(axis=1)[: len(held)]
-    # conservative where the sample is too small to show a share that small
-    model.least_probability = float(min(0.5, np.quantile(best, s.rejected) * 0.9))
+    # conservative, as the sample is too small to show a share that small and short good texts may look like two languages
+    model.least_probability = float(min(s.chance / len(code), np.quantile(best, s.rejected) * 0.9))
     model.least_known = float(0.5 * np.quantile(share[: len(held)], s.rejected))
 
 
