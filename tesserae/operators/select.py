@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.model import CELL, GENE, Dataset
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, in the session's checkpoint folder; a temporary one is set only where it has none."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
+    return df.checkpoint()
+
+
 def renumbered(kept: DataFrame, index: str) -> DataFrame:
     """index, new: kept indices in ascending order, numbered from 0.
 
@@ -56,7 +66,7 @@ def blocks(x: DataFrame, cells: int, genes: int) -> DataFrame:
 
 def keep_genes(ds: Dataset, kept: DataFrame) -> Dataset:
     """Everything by gene, for the kept genes under new numbers. Layers of another width than X stay as they are."""
-    new = renumbered(kept, GENE).checkpoint()
+    new = cut(renumbered(kept, GENE))
     to = lambda t, c: t.join(new.withColumnRenamed(GENE, c), c).withColumn(c, F.col("new")).drop("new").select(t.columns)
     layers, layer_dims = ds.layers, dict(ds.layer_dims)
     if layers is not None:
@@ -70,7 +80,7 @@ def keep_genes(ds: Dataset, kept: DataFrame) -> Dataset:
 
 def keep_cells(ds: Dataset, kept: DataFrame) -> Dataset:
     """Everything by cell, for the kept cells under new numbers."""
-    new = renumbered(kept, CELL).checkpoint()
+    new = cut(renumbered(kept, CELL))
     to = lambda t, c: None if t is None else t.join(new.withColumnRenamed(CELL, c), c).withColumn(c, F.col("new")).drop("new").select(t.columns)
     n = new.count()
     dims = type(ds.dims)(**{**ds.dims.__dict__, "n_cells": n, "first_cell": 0})
