@@ -27,6 +27,8 @@ from tesserae.llm.common import FILE, ROW, anchored, located, stored, text_of
 
 #: Bins of a permutation, and parts of a step of the search.
 BINS, PARTS, STEPS = 4096, 16, 6
+#: Keys that a source's rows are spread over where they meet its plan.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -118,8 +120,10 @@ def picks(rows: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     ).withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens")).checkpoint()
     key = ["name", "no_source"]
     dealt = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("no_source", F.col("source").isNull())
-    # a few numbers a source; sides of unknown size are left to Spark, which splits hot sources of such a join
-    dealt = dealt.join(plan.select(*key, "n_blocks"), key).withColumn("block", F.pmod(F.xxhash64(seed, F.col(FILE), F.col(ROW)), F.col("n_blocks"))).drop("n_blocks")
+    # a source may hold a third of all rows: its rows meet its plan under SALTS keys
+    own = plan.select(*key, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64(F.col(ROW), F.col(FILE)), F.lit(SALTS)).cast("int")).join(own, [*key, "salt"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(seed, F.col(FILE), F.col(ROW)), F.col("n_blocks"))).drop("n_blocks", "salt")
     blocks = dealt.groupBy(*key, "block").agg(F.sum("n_tokens").alias("tokens")).join(plan.drop("tokens", "n_blocks"), key)
     place = _fraction(seed, F.col("name"), F.col("no_source"), F.col("whole"), F.col("block"))
     blocks = blocks.withColumn("place", place).withColumn("bin", F.floor(F.col("place") * BINS)).checkpoint()
