@@ -2,9 +2,9 @@
 
 Blocks are cut around words that licenses use. A block is compressed by itself and with each license
 template as a zstandard raw dictionary; the template that saves the most bytes is its best candidate.
-Candidates in order of their savings are confirmed by exact wording: a phrase of the template must be
+Every template, in order of the savings, is confirmed by exact wording: a phrase of the template must be
 in the block word for word, but for its variable parts, and the differences are measured. So compression
-proposes and wording decides.
+orders and wording decides; a small saving loses no notice.
 """
 
 from __future__ import annotations
@@ -56,9 +56,6 @@ AROUND, PIECE = 320, 1 << 14
 
 @dataclass(frozen=True)
 class Settings:
-    """saving: bytes of a block's compressed size that a template saves, at least, to be a candidate."""
-
-    saving: int = 6
     templates: tuple[Template, ...] = TEMPLATES
 
 
@@ -98,17 +95,17 @@ def _compressors(templates: tuple[Template, ...]) -> tuple[zstandard.ZstdCompres
     return zstandard.ZstdCompressor(**plain), own
 
 
-def ranked(block: str, s: Settings) -> list[tuple[float, int]]:
-    """(bytes of compressed size saved, template) of the candidates, the largest saving first."""
+def ranked(placed: list[tuple[str, int, int]], s: Settings) -> list[tuple[int, int]]:
+    """(bytes of compressed size saved, template) of every template, the largest saving first."""
     plain, own = _compressors(s.templates)
-    folded = " ".join(w for w, _, _ in words(block)).encode()
+    folded = " ".join(w for w, _, _ in placed).encode()
     best = [0] * len(s.templates)
     for at in range(0, max(1, len(folded)), PIECE):
         piece = folded[at : at + PIECE + 400]  # longer than a phrase, so that none is cut
         alone = len(plain.compress(piece))
         for i, c in enumerate(own):
             best[i] = max(best[i], alone - len(c.compress(piece)))
-    return sorted(((v, i) for i, v in enumerate(best) if v >= s.saving), key=lambda x: (-x[0], x[1]))
+    return sorted(((v, i) for i, v in enumerate(best)), key=lambda x: (-x[0], x[1]))
 
 
 def _found(own: list[str], phrase: list[str]) -> list[tuple[int, int]]:
@@ -135,9 +132,8 @@ def _match(own: list[str], at: int, phrase: list[str]) -> int | None:
     return at
 
 
-def confirm(block: str, template: Template) -> list[tuple[int, int, float]]:
-    """(start, end, share of the block's words that are not the template's) of each phrase that the block has word for word."""
-    placed = words(block)
+def confirm(placed: list[tuple[str, int, int]], template: Template) -> list[tuple[int, int, float]]:
+    """(start, end, share of the block's words that are not the template's) of each phrase that the block's words have word for word."""
     own, out = [w for w, _, _ in placed], []
     for phrase in template.phrases:
         # a sign in a phrase's words is not a word: both sides are split alike
@@ -152,9 +148,9 @@ def scan(text: str, s: Settings) -> list[dict]:
     """Confirmed licenses of a whole text, by place. Of two that overlap, the longer wording, then the larger saving, stays."""
     found = []
     for a, b in blocks(text):
-        block = text[a:b]
-        for saving, i in ranked(block, s):
-            for start, end, differs in confirm(block, s.templates[i]):
+        placed = words(text[a:b])
+        for saving, i in ranked(placed, s):
+            for start, end, differs in confirm(placed, s.templates[i]):
                 found.append({"license": s.templates[i].license, "start": a + start, "end": a + end, "saving": saving, "differs": round(differs, 6)})
     kept: list[dict] = []
     for x in sorted(found, key=lambda x: (x["start"] - x["end"], -x["saving"], x["start"])):

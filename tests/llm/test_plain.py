@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -178,6 +179,25 @@ def test_license_scan():
         assert name in {f["license"] for f in licenses.scan(f"{filler}{phrase.upper()}. {filler}", licenses.Settings())}, phrase
 
 
+def test_license_scan_needs_no_saving():
+    text = "lodrer sotha tikal moren. " * 3 + "\nLicensed under the Apache License, Version 2.0."
+    assert [f["license"] for f in licenses.scan(text, licenses.Settings())] == ["Apache-2.0"]
+    r = random.Random(3)
+    every = [(t.license, p) for t in licenses.TEMPLATES for p in t.phrases if "*" not in p]
+    for n in range(20, 121, 10):
+        for name, phrase in every:
+            prefix = "".join(r.choices("etaoinshrdlu ", k=n))
+            assert name in {f["license"] for f in licenses.scan(f"{prefix} {phrase}", licenses.Settings())}, (prefix, phrase)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_license_scan_of_a_short_document():
+    import pyarrow.parquet as pq
+
+    (row,) = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"], filters=[("doc_id", "=", 1749)]).to_pylist()
+    assert len(row["text"]) == 123 and [f["license"] for f in licenses.scan(row["text"], licenses.Settings())] == ["Apache-2.0"]
+
+
 def test_secret_scan():
     forest = secrets.train(secrets.Settings(findings=1500, trees=20))
     rows = secrets.labelled_findings(400, 77)
