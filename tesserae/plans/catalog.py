@@ -1,6 +1,7 @@
 """The registered queries of the matrix engine and the SQL each is held against.
 
-Keys are the operators' names in the blueprint. Doubles are rounded on both sides, as sums in another order
+Keys are the operators' names in the blueprint; ``_whole`` is added where the plain name runs over an id subset, as its
+SQL does, and this one over whole tables. Doubles are rounded on both sides, as sums in another order
 differ in their last digits.
 """
 
@@ -719,3 +720,63 @@ def O_snk_chunkstore(spark, sf):
 
 
 again("O_src_chunkstore", "O_snk_chunkstore")
+
+
+# whole tables, where the queries above take a subset
+
+
+def _folder(spark) -> str:
+    """A new path below the folder that driver and executors share."""
+    from tempfile import mkdtemp
+    from uuid import uuid4
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or mkdtemp()
+    return f"{top.rstrip('/')}/{uuid4().hex}"
+
+
+def _whole_bundle(spark, sf) -> str:
+    from tesserae.sources import bundle
+
+    path = f"{_folder(spark)}/x.bundle"
+    bundle.write(star.dataset(spark, sf), path)
+    return path
+
+
+@query("SELECT * FROM x", "x")
+def O_snk_stream_whole(spark, sf):
+    from tesserae.sources import bundle
+
+    return bundle.read(spark, _whole_bundle(spark, sf)).x
+
+
+@query("SELECT * FROM (SELECT 'obs' AS part, (SELECT count(*) FROM orders) AS rows UNION ALL SELECT 'var', (SELECT count(*) FROM part) UNION ALL SELECT 'x', (SELECT count(*) FROM x) UNION ALL SELECT 'layers', (SELECT count(*) FROM l) UNION ALL SELECT 'obsm', (SELECT count(*) FROM embeddings))", "x", "l")
+def O_src_inspect_whole(spark, sf):
+    from tesserae.sources import bundle
+
+    return bundle.inspect(spark, _whole_bundle(spark, sf)).select("part", "rows")
+
+
+@query("SELECT * FROM x", "x")
+def O_snk_chunkstore_whole(spark, sf):
+    path = f"{_folder(spark)}/chunks"
+    # ordered by chunk, so that a task writes few folders
+    layout.chunked(star.x(spark, sf), 5000).repartitionByRange("chunk", CELL).write.partitionBy("chunk").option("compression", "lz4").parquet(path)
+    return layout.merged(spark.read.parquet(path))
+
+
+again("O_src_chunkstore_whole", "O_snk_chunkstore_whole")
+
+
+@query("SELECT 'g' AS name, l_suppkey AS i, l_partkey AS j, coalesce(CASE WHEN l_linenumber > 1 THEN l_discount END, 1.0) AS value FROM lineitem")
+def O_src_loom_graph_whole(spark, sf):
+    from tesserae.sources import loom
+
+    edges = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("w"))
+    extent = edges.agg(F.max(F.greatest("a", "b")) + 1).first()[0]
+    return loom.graph(edges, extent or 0, "g")
+
+
+@query("SELECT s_suppkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0) WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576.0) WHEN b < 1099511627776 THEN printf('%.2f GB', b / 1073741824.0) ELSE printf('%.2f TB', b / 1099511627776.0) END AS size FROM (SELECT s_suppkey, CAST(s_suppkey AS BIGINT) * s_suppkey * 10000 AS b FROM supplier)")
+def O_fn_bytes_whole(spark, sf):
+    n = F.col("s_suppkey").cast("long")
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", text.size_column(n * n * 10000).alias("size"))
