@@ -35,10 +35,13 @@ FORMATS = {
     "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"(?i:\b[\w-]{0,32}(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?)(?P<value>[^\s\"'<>,;]{8,200})",
-    "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}[0-9])(?=[0-9+/_=-]{0,80}[A-Za-z])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])",
+    "assigned": r"(?i:\b[\w-]{0,32}(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?)(?P<value>[^\s\"'<>,;]{8,}+)",
+    "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+",
 }
-CANDIDATE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
+NAMED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items() if k != "mixed"))
+MIXED = re.compile(FORMATS["mixed"])
+#: A piece of a mixed run, which has no look-behind, as its neighbour is part of another candidate.
+PIECE = re.compile(FORMATS["mixed"].removeprefix("(?<![A-Za-z0-9+/_=-])"))
 #: Parts of everyday identifiers, of placeholders and of prose.
 DICTIONARY = tuple(
     "access account action address admin after alpha array backup base before beta block bridge browser buffer build button cache call change channel class click client cloud code color column command comment common complete config connect content context control copy count create current custom data date debug default delete demo detail device dialog display document domain driver dummy email enable engine entity error event example export factory false field file filter final first folder font form format frame from function gateway global graph group handler hash header height hello helper hidden home host http image import index info input insert instance integer internal item java join json label language layer layout length level library line link list load local login logic long main manager map master member memory message method model module mouse name network node null number object option order output package page param parse password path pattern payload plugin point policy port prefix print private process profile project property provider proxy public query queue random range record region release remote render replace report request resource response result return role root route sample schema screen search secret select sender server service session setting shared short simple size sleep source state static status storage store stream string style submit switch system table target template test text thread time title token tool total trace tree true type unit update upload user utils value variable version view warning width window with word work world write your".split()
@@ -124,11 +127,29 @@ def features(value: str, kind: str, before: str, after: str, source: str) -> lis
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of each candidate's value, by place; they don't overlap."""
-    for m in CANDIDATE.finditer(text):
-        kind = m.lastgroup
-        kind = next(k for k in FORMATS if m.group(k) is not None) if kind == "value" else kind
-        a, b = m.span("value") if kind == "assigned" else m.span(kind)
+    """(kind, start, end) of each candidate's value, by place; they don't overlap.
+
+    Runs and values are taken whole, however long. A run of mixed characters that holds a known format or an
+    assignment is cut there, so that a long run hides none.
+    """
+    named, out, i = [], [], 0
+    for m in NAMED.finditer(text):
+        kind = next(k for k in FORMATS if k != "mixed" and m.group(k) is not None)
+        named.append(m.span())
+        out.append((*m.span("value" if kind == "assigned" else kind), kind))
+    for m in MIXED.finditer(text):
+        at, end = m.span()
+        while i < len(named) and named[i][1] <= at:
+            i += 1
+        j = i
+        while j < len(named) and named[j][0] < end:
+            if PIECE.fullmatch(text, at, max(at, named[j][0])):
+                out.append((at, named[j][0], "mixed"))
+            at = max(at, named[j][1])
+            j += 1
+        if at == m.start() or at < end and PIECE.fullmatch(text, at, end):
+            out.append((at, end, "mixed"))
+    for a, b, kind in sorted(out):
         yield kind, a, b
 
 
