@@ -2,9 +2,10 @@
 
 Blocks are cut around words that licenses use. A block is compressed by itself and with each license
 template as a zstandard raw dictionary; the template that saves the most bytes is its best candidate.
-Every template, in order of the savings, is confirmed by exact wording: a phrase of the template must be
-in the block word for word, but for its variable parts, and the differences are measured. So compression
-orders and wording decides; a small saving loses no notice.
+Every template, in order of the savings, is confirmed by wording: the block's words are aligned with each phrase
+of the template, and up to a stated share of the phrase's words may differ, which is reported. Words that decide which
+license is meant (names, versions, negations) and the cues may not. So compression orders and wording decides; a small
+saving loses no notice.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from tesserae.llm.common import text_of
 
 @dataclass(frozen=True)
 class Template:
-    """phrases: wordings that each show the license; ``*`` stands for one to six words."""
+    """phrases: wordings that each show the license; ``*`` stands for one to six words, and a phrase with it must be exact."""
 
     license: str
     phrases: tuple[str, ...]
 
 
+#: Notices of the GPL that name no version; version words near them decide, if there are any.
+GPL = "GPL"
 #: Standard wordings of license notices.
 TEMPLATES = (
     Template("Apache-2.0", ("licensed under the apache license version 2.0", "spdx license identifier apache 2.0", "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis")),
@@ -38,10 +41,11 @@ TEMPLATES = (
     Template("CC-BY-4.0", ("licensed under cc by 4.0", "creative commons attribution 4.0 international license", "spdx license identifier cc by 4.0")),
     Template("CC-BY-NC-4.0", ("licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license", "spdx license identifier cc by nc 4.0")),
     Template("CC-BY-SA-4.0", ("licensed under cc by sa 4.0", "creative commons attribution sharealike 4.0 international license", "spdx license identifier cc by sa 4.0")),
-    Template("GPL-2.0", ("licensed under the gnu general public license version 2", "spdx license identifier gpl 2.0")),
-    Template("GPL-3.0", ("licensed under the gnu general public license version 3", "you should have received a copy of the gnu general public license along with this program", "spdx license identifier gpl 3.0")),
+    Template(GPL, ("you should have received a copy of the gnu general public license along with this program",)),
+    Template("GPL-2.0", ("licensed under the gnu general public license version 2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "under the terms of the gnu general public license version 2 as published by the free software foundation", "spdx license identifier gpl 2.0")),
+    Template("GPL-3.0", ("licensed under the gnu general public license version 3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "under the terms of the gnu general public license version 3 as published by the free software foundation", "spdx license identifier gpl 3.0")),
     Template("ISC", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx license identifier isc")),
-    Template("LGPL-3.0", ("licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 3.0")),
+    Template("LGPL-3.0", ("licensed under the gnu lesser general public license version 3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", "spdx license identifier lgpl 3.0")),
     Template("MIT", ("released under the mit license", "licensed under the mit license", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files")),
     Template("MPL-2.0", ("this source code form is subject to the terms of the mozilla public license v 2.0", "spdx license identifier mpl 2.0")),
     Template("Proprietary", ("all rights reserved",)),
@@ -50,18 +54,25 @@ TEMPLATES = (
 #: A line without any of these has none of the phrases above.
 CUES = re.compile(r"licen[sc]e|licensed|copyright|spdx|permission|permitted|creative\s+commons|mozilla|public\s+domain|rights\s+reserved|applicable\s+law|redistribut", re.I)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+#: Words that may not differ, as another license, or none, would be meant. So are words with a digit, and cues.
+DECIDING = frozenset("apache bsd mit isc gnu gpl lgpl agpl general lesser affero library mozilla public spdx identifier cc by nc sa nd creative commons attribution noncommercial sharealike noderivatives unencumbered domain rights reserved not no never without except".split())
+#: Words before a version word among which the GPL must be named; and those of a block between it and a notice, at most.
+NAMED_WITHIN, NEAR = 14, 120
 #: Characters on either side of a cue that a block takes in; and bytes that a block is compressed in at a time.
 AROUND, PIECE = 320, 1 << 14
 
 
 @dataclass(frozen=True)
 class Settings:
+    """differs: share of a phrase's words that may differ, by words replaced, left out or put in."""
+
+    differs: float = 0.2
     templates: tuple[Template, ...] = TEMPLATES
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    """Lowered words with their places."""
-    return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+    """Lowered words with their places; licence is spelled license."""
+    return [(m[0].lower().replace("licence", "license"), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -132,28 +143,96 @@ def _match(own: list[str], at: int, phrase: list[str]) -> int | None:
     return at
 
 
-def confirm(placed: list[tuple[str, int, int]], template: Template) -> list[tuple[int, int, float]]:
-    """(start, end, share of the block's words that are not the template's) of each phrase that the block's words have word for word."""
-    own, out = [w for w, _, _ in placed], []
+def _same(own: str, w: str) -> bool:
+    return own == w or w[0].isdigit() and own.startswith(w + ".")
+
+
+def _decides(w: str) -> bool:
+    return w in DECIDING or not w.isalpha() or CUES.search(w) is not None
+
+
+def _aligned(own: list[str], lo: int, hi: int, phrase: list[str], most: int) -> tuple[int, int, int] | None:
+    """(differences, first, last + 1) of the words within [lo, hi) most like the phrase, if at most ``most`` differ and none of those decides.
+
+    Edit distance by words with a free start; of equal ones the first end, and of its alignments the shortest.
+    """
+    none = most + 1
+    gap = [none if _decides(w) else 1 for w in phrase]
+    row = [(0, 0)]  # differences, minus the first word
+    best = None
+    for at in range(lo, hi + 1):
+        before, put_in = row, none if at == lo or _decides(own[at - 1]) else 1
+        row = [(0, -at)]
+        for k, w in enumerate(phrase):
+            ways = [(row[k][0] + gap[k], row[k][1])]
+            if at > lo:
+                cost = 0 if _same(own[at - 1], w) else max(gap[k], put_in)
+                ways += [(before[k][0] + cost, before[k][1]), (before[k + 1][0] + put_in, before[k + 1][1])]
+            row.append(min(ways))
+        if row[-1][0] <= most and (best is None or row[-1][0] < best[0]):
+            best = (row[-1][0], -row[-1][1], at)
+    return best
+
+
+@lru_cache(maxsize=4096)
+def _parts(phrase: str, share: float) -> tuple[tuple[str, ...], int, tuple[tuple[int, tuple[str, ...]], ...], frozenset]:
+    """Words of the phrase, differences allowed, pieces of it of which one must be whole (place, words), and words that must be there."""
+    # a sign in a phrase's words is not a word: both sides are split alike
+    parts = tuple(w if w == "*" else x for w in phrase.split() for x in ([w] if w == "*" else WORD.findall(w)))
+    most = 0 if "*" in parts else int(share * len(parts))
+    cut = [len(parts) * i // (most + 1) for i in range(most + 2)]
+    return parts, most, tuple((a, parts[a:b]) for a, b in zip(cut, cut[1:], strict=False)), frozenset(w for w in parts if w.isalpha() and (not most or _decides(w)))
+
+
+def confirm(own: list[str], template: Template, share: float, known: set[str]) -> list[tuple[int, int, float]]:
+    """(first, last + 1, share that differs) of the words of the block (``known`` as a set) for each wording of a phrase of the template."""
+    out = []
     for phrase in template.phrases:
-        # a sign in a phrase's words is not a word: both sides are split alike
-        parts = [w if w == "*" else x for w in phrase.split() for x in ([w] if w == "*" else WORD.findall(w))]
-        for a, b in _found(own, parts):
-            differs = 1 - difflib.SequenceMatcher(None, own[a:b], parts, autojunk=False).ratio()
-            out.append((placed[a][1], placed[b - 1][2], differs))
-    return sorted(out)
+        parts, most, pieces, needed = _parts(phrase, share)
+        if not needed <= known:
+            continue
+        exact = _found(own, list(parts))
+        for a, b in exact:
+            out.append((a, b, round(1 - difflib.SequenceMatcher(None, own[a:b], parts, autojunk=False).ratio(), 6)))
+        if not most:
+            continue
+        # with at most ``most`` differences, one of most + 1 pieces is word for word
+        spans = sorted({(max(0, i - at - most), min(len(own), i - at + len(parts) + most)) for at, piece in pieces for i, _ in _found(own, list(piece))})
+        for lo, hi in spans:
+            if any(lo <= a and b <= hi for a, b in exact):
+                continue
+            got = _aligned(own, lo, hi, list(parts), most)
+            if got and got[0]:
+                out.append((got[1], got[2], round(got[0] / len(parts), 6)))
+    return sorted(set(out))
+
+
+def _version(own: list[str], first: int, last: int) -> str:
+    """The GPL with the version whose words are nearest to the notice [first, last), if there are any that follow its name."""
+    near = []
+    for i in range(max(0, first - NEAR), min(len(own), last + NEAR)):
+        number = own[i].removeprefix("v")
+        if number in ("2", "3", "2.0", "3.0") and (own[i] != number or i and own[i - 1] in ("version", "v", "gpl")):
+            name = own[max(0, i - NAMED_WITHIN) : i]
+            # names of other licenses have versions of their own
+            if {"gpl", "general"} & set(name) and not {"lesser", "affero", "library", "apache", "mozilla"} & set(name):
+                near.append((max(first - i, i - last, 0), number[0]))
+    return f"{GPL}-{min(near)[1]}.0" if near else GPL
 
 
 def scan(text: str, s: Settings) -> list[dict]:
-    """Confirmed licenses of a whole text, by place. Of two that overlap, the longer wording, then the larger saving, stays."""
+    """Confirmed licenses of a whole text, by place. Of two that overlap, the longer wording, then the closer, then the larger saving, stays."""
     found = []
     for a, b in blocks(text):
         placed = words(text[a:b])
+        own = [w for w, _, _ in placed]
+        known = set(own)
         for saving, i in ranked(placed, s):
-            for start, end, differs in confirm(placed, s.templates[i]):
-                found.append({"license": s.templates[i].license, "start": a + start, "end": a + end, "saving": saving, "differs": round(differs, 6)})
+            for first, last, differs in confirm(own, s.templates[i], s.differs, known):
+                name = s.templates[i].license
+                found.append({"license": _version(own, first, last) if name == GPL else name, "start": a + placed[first][1], "end": a + placed[last - 1][2], "saving": saving, "differs": differs})
     kept: list[dict] = []
-    for x in sorted(found, key=lambda x: (x["start"] - x["end"], -x["saving"], x["start"])):
+    for x in sorted(found, key=lambda x: (x["differs"] > 0, x["start"] - x["end"], x["differs"], -x["saving"], x["start"])):
         if all(x["end"] <= y["start"] or y["end"] <= x["start"] for y in kept):
             kept.append(x)
     return sorted(kept, key=lambda x: x["start"])

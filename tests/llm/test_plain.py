@@ -198,6 +198,34 @@ def test_license_scan_of_a_short_document():
     assert len(row["text"]) == 123 and [f["license"] for f in licenses.scan(row["text"], licenses.Settings())] == ["Apache-2.0"]
 
 
+def names_of(text):
+    return [f["license"] for f in licenses.scan(text, licenses.Settings())]
+
+
+def test_license_wording_may_differ():
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    for changed, n in ((mit.replace("person", "party"), 1), (mit.replace("hereby ", ""), 1), (mit.replace("obtaining", "lawfully obtaining"), 1), (mit.replace("person", "party").replace("obtaining", "getting"), 2)):
+        (found,) = licenses.scan(f"Some words. {changed}. More.", licenses.Settings())
+        assert found["license"] == "MIT" and found["differs"] == pytest.approx(n / 20)
+    assert names_of("Distributed under the MIT License") == names_of("Released under the MIT Licence") == ["MIT"]
+    # a word that decides may not differ
+    for text in (mit.replace("is hereby", "is not hereby"), "Licensed under the Apache License, Version 1.1", "Licensed under the GNU Affero General Public License version 3", "released under the bsl license"):
+        assert names_of(text) == [], text
+    assert names_of("Licensed under the GNU Lesser General Public License version 3") == ["LGPL-3.0"]
+
+
+@pytest.mark.parametrize("version", ["2", "3"])
+def test_license_versions_of_the_gpl(version):
+    head = f"""This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.
+    This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+    tail = "You should have received a copy of the GNU General Public License along with this program."
+    assert set(names_of(f"{head} {tail}")) == {f"GPL-{version}.0"} and len(names_of(f"{head} {tail}")) == 2
+    assert names_of(head.replace("either ", "")) == [f"GPL-{version}.0"]
+    assert names_of(tail) == ["GPL"]
+
+
 def test_secret_scan():
     forest = secrets.train(secrets.Settings(findings=1500, trees=20))
     rows = secrets.labelled_findings(400, 77)
