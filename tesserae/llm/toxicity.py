@@ -116,7 +116,7 @@ def features(text: str, lexicon: Lexicon, near: int) -> list[float]:
     undone = sum(max(lexicon(m.lower().translate(STAND_INS)), lexicon(re.sub(r"[^\w]|\d", "", m.lower()))) > 0 for m in masked)
     kinds = {low[i]: weight[i] for i in hits}
     capitals = sum(w.isupper() and len(w) > 1 for w in words)
-    upper = sum(map(str.isupper, text)) if len(text) < 4096 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = sum(map(str.isupper, text))
     return [
         len(hits) / n,
         math.log1p(len(hits)),

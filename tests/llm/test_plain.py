@@ -198,6 +198,15 @@ def test_license_scan_of_a_short_document():
     assert len(row["text"]) == 123 and [f["license"] for f in licenses.scan(row["text"], licenses.Settings())] == ["Apache-2.0"]
 
 
+def test_capitals_count_alike_at_every_length():
+    at, none = toxicity.FEATURES.index("capitals"), toxicity.Lexicon({})
+    for text in ("ŒUVRE łódź ŁÓDŹ", "ΑΒΓ αβγ", "ЖЗИ жзи", "Ab Éc", "Ⅷ Ⓐ 𝐀"):
+        share = sum(map(str.isupper, text)) / len(text)
+        assert share > 0
+        for times in (1, 5000):
+            assert toxicity.features(text * times, none, 5)[at] == pytest.approx(share)
+
+
 def names_of(text):
     return [f["license"] for f in licenses.scan(text, licenses.Settings())]
 
