@@ -178,12 +178,13 @@ def margin(x: np.ndarray, m: Model) -> np.ndarray:
     return m.start + m.rate * sum((_tree(x, t) for t in m.trees), np.zeros(len(x)))
 
 
-def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: margins and the rising share of label 1 at them. Ends are smoothed by half a row."""
+def isotonic(z: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: margins and the rising share of label 1 at them, by weight. Ends are smoothed by half a row of weight 1."""
+    w = np.ones(len(z)) if w is None else w
     order = np.argsort(z, kind="stable")
-    blocks: list[list[float]] = []  # sum of z, sum of y, rows
-    for a, b in zip(z[order], y[order], strict=True):
-        blocks.append([float(a), float(b), 1.0])
+    blocks: list[list[float]] = []  # sum of z, sum of y, rows, each by weight
+    for a, b, n in zip(z[order], y[order], w[order], strict=True):
+        blocks.append([float(a * n), float(b * n), float(n)])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
@@ -213,10 +214,8 @@ def fit(texts: list[str], labels: list[int], weights: list[float], s: Settings =
         tree = _grow(binned, w[own] * (p - y[own]), w[own] * np.maximum(p * (1 - p), 1e-6), cuts, s)
         model.trees.append(tree)
         z += s.rate * _tree(x[own], tree)
-    # the sample has as many toxic rows as others at most: repeat by weight, so that the curve gives shares of the corpus
-    zh = margin(x[held], model)
-    times = np.maximum(1, np.round(w[held] / w[held].min())).astype(int)
-    model.curve = isotonic(np.repeat(zh, np.minimum(times, 64)), np.repeat(y[held], np.minimum(times, 64)))
+    # the sample has as many toxic rows as others at most: by weight, so that the curve gives shares of the corpus
+    model.curve = isotonic(margin(x[held], model), y[held], w[held] / w[held].min())
     return model
 
 

@@ -198,6 +198,14 @@ def test_license_scan_of_a_short_document():
     assert len(row["text"]) == 123 and [f["license"] for f in licenses.scan(row["text"], licenses.Settings())] == ["Apache-2.0"]
 
 
+def test_calibration_gives_shares_of_the_corpus():
+    m = toxicity.fit(["the same text"] * 400, [i % 2 for i in range(400)], [1.0 if i % 2 else 1000.0 for i in range(400)])
+    assert toxicity.scores(["the same text"], m)[0] < 0.003
+    z, y, w = np.array([0.0, 1, 2, 3]), np.array([0.0, 1, 0, 1]), np.array([2.0, 1, 3, 1])
+    for got, want in zip(toxicity.isotonic(z, y, w), toxicity.isotonic(np.repeat(z, w.astype(int)), np.repeat(y, w.astype(int))), strict=True):
+        assert got == pytest.approx(want)
+
+
 def test_capitals_count_alike_at_every_length():
     at, none = toxicity.FEATURES.index("capitals"), toxicity.Lexicon({})
     for text in ("ŒUVRE łódź ŁÓDŹ", "ΑΒΓ αβγ", "ЖЗИ жзи", "Ab Éc", "Ⅷ Ⓐ 𝐀"):
