@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import bounded_sample
@@ -194,8 +194,36 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each language, ``most`` at most in all: those of the rarest first, as many as an even share of what is left. One at least."""
+    out, left = {}, most
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - i)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of every language by ``quotas``, those with the smallest hashes of doc_id, in the order of these hashes.
+
+    A first pass counts by language, so that the second only passes on about as many rows of each as are wanted.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language, as the model has
+    if sum(counts.values()) <= most:
+        return bounded_sample(rows, most)
+    wanted = quotas(counts, most)
+    # more than wanted by six standard deviations, so that hashes hardly ever give fewer
+    share = {k: min(1.0, (n + 6 * n**0.5 + 20) / counts[k]) for k, n in wanted.items()}
+    limits = [(k, n, 2**63 - 1 if share[k] >= 1 else int(-(2**63) + share[k] * (2**64 - 1))) for k, n in wanted.items()]
+    h = F.xxhash64(F.col("doc_id"), F.lit(17))
+    limits = F.broadcast(rows.sparkSession.createDataFrame(limits, "lang string, _rows long, _limit long"))
+    near = rows.join(limits, "lang").withColumn("_h", h).where("_h <= _limit")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    return near.withColumn("_place", place).where("_place <= _rows").orderBy("_h", "doc_id").select(*rows.columns)
+
+
 def train(labelled: DataFrame, s: Settings = Settings()) -> Model:  # noqa: B008
-    """Fit on at most ``s.sample`` of the rows (text, lang) with both, those with the smallest hash of doc_id."""
+    """Fit on at most ``s.sample`` of the rows (text, lang) with both (one of each language at least), drawn for each language by ``sampled``."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    few = bounded_sample(rows, s.sample).select("text", "lang").toPandas()
+    few = sampled(rows, s.sample).select("text", "lang").toPandas()
     return fit(few["text"].tolist(), few["lang"].tolist(), s)

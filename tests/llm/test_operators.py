@@ -314,3 +314,11 @@ def test_scans(odd, none):
         assert got.count() == len(ROWS)
     assert licenses.scan_documents(none).count() == 0 and secrets.scan_documents(none, forest).count() == 0
     assert len(LONG) > 900_000
+
+
+def test_language_sample_has_rare_languages(spark):
+    assert langid.quotas({"a": 10_000, "b": 5, "c": 10_000}, 105) == {"b": 5, "a": 50, "c": 50}
+    assert langid.quotas({"a": 3, "b": 3}, 1) == {"a": 1, "b": 1}
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.expr("CASE WHEN id % 8000 = 7 THEN 'rare' WHEN id % 2 = 0 THEN 'x' ELSE 'y' END").alias("lang"))
+    got = langid.sampled(rows, 1000).toPandas()
+    assert got["lang"].value_counts().to_dict() == {"x": 498, "y": 497, "rare": 5} and got["doc_id"].is_unique
