@@ -289,6 +289,15 @@ def test_weighted_jaccard_by_hand():
     assert near_dedup.weighted_jaccard(a, a) == 1 and near_dedup.weighted_jaccard((a[0][:0], a[1][:0]), (a[0][:0], a[1][:0])) == 0
 
 
+@pytest.mark.parametrize(("rows", "group", "limit"), [(1e5, 1 / 3, 0.850), (1e5, 0.001, 0.818), (1e7, 1 / 3, 0.852)])
+def test_plain_similarity_at_the_limit_inside_a_group(rows, group, limit):
+    """The README's figures: half of what differs is rare, half is the group's."""
+    common, h = 1 + math.log(1 / group) / math.log(rows), np.arange(1000, dtype=np.uint64)
+    for shared, links in ((round(1000 * limit) - 4, False), (round(1000 * limit) + 4, True)):
+        w = np.where((h >= shared) & (h % 2 == 0), 2.0, common)
+        assert (near_dedup.weighted_jaccard((h, w), (h[:shared], w[:shared])) >= near_dedup.Settings().similar) == links
+
+
 def test_shingles():
     h, n = near_dedup.shingles("A b c d e. a B c d E", 5)
     assert n.sum() == 6 and (h == np.sort(h)).all() and n.max() == 2
