@@ -8,9 +8,13 @@ read straight from Parquet is written to the shared folder first.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +24,44 @@ FILE, ROW = "_file", "_row"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share.
+    """A new path below the folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    That folder is ``spark.checkpoint.dir``; only where a session has none (tests on one
-    machine) is one made and set.
+    Only a session on one machine (``local[...]``) that has none gets one below its warehouse; elsewhere that is an error, as no folder
+    of one machine will do.
     """
     sc = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
-        top = sc.getCheckpointDir()
-    if not top:
-        top = tempfile.mkdtemp(prefix="tesserae-")
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
+        sc.setCheckpointDir(top)
+    elif not sc.getCheckpointDir():
         sc.setCheckpointDir(top)
-        top = sc.getCheckpointDir()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow, after which the worker gives memory it no longer uses back to the system, as workers are used again."""
+
+    @functools.wraps(run)
+    def held(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return held
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again."""
     path = shared_folder(df.sparkSession, name)
