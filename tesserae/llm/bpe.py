@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import released, text_of
+from tesserae.llm.common import arrow_map, text_of
 
 #: White space as Unicode defines it, which is not quite Python's.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -427,7 +427,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -
             second = pa.array([" ".join(x) if decoded else x.hexdigest() for x in seconds], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), first, second], names=[f.split(" ")[0] for f in fields])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(released(run), ", ".join(fields))
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(arrow_map, run, ", ".join(fields))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -438,4 +438,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(released(run), "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").transform(arrow_map, run, "doc_id long, text string")

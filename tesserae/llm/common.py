@@ -62,6 +62,18 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return held
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session names a number other than Spark's own.
+BATCH_BYTES, SPARKS_OWN = 4 << 20, "67108864b"
+
+
+def arrow_map(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``df.mapInArrow`` by ``released``, in batches that are small however long the texts are."""
+    limit, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(limit) == SPARKS_OWN:
+        conf.set(limit, BATCH_BYTES)
+    return df.mapInArrow(released(run), schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again."""
     path = shared_folder(df.sparkSession, name)

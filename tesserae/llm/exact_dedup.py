@@ -21,6 +21,16 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: Bytes of digest table that a micro-batch reads.
 BATCH_BYTES = 1 << 30
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Of the state stores: on disk, all of an executor's in so much memory, and gone from it once a batch is committed.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+}
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -47,8 +57,7 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, batch_bytes: int
     source = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
     conf, before = spark.conf, {}
     # read when a query starts; put back at once
-    own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
-    for k, v in own.items():
+    for k, v in STATE_CONF.items():
         before[k] = conf.get(k, None)
         conf.set(k, v)
     try:

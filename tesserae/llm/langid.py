@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import bounded_sample
+from tesserae.llm.common import arrow_map, bounded_sample
 
 #: Answer for texts without a letter.
 NO_LANGUAGE = "und"
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_()), *(batch.column(2 + i) for i in range(len(keep)))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(k) for k in keep]).mapInArrow(run, RESULT + fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(k) for k in keep]).transform(arrow_map, run, RESULT + fields)
 
 
 def held_out() -> Column:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import arrow_map, text_of
 
 
 @dataclass(frozen=True)
@@ -256,4 +256,4 @@ def scan_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # n
             names = [sorted({x["license"] for x in f}) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array([len(f) for f in found], pa.int32()), pa.array(found, kind)], names=["doc_id", "licenses", "n_findings", "findings"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).transform(arrow_map, run, RESULT)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FILE, ROW, anchored, located, partitions
+from tesserae.llm.common import FILE, ROW, anchored, arrow_map, located, partitions
 
 #: What is stripped at both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -201,8 +201,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     """
     n = partitions(docs.sparkSession)
     rows = located(docs, "text").select(FILE, ROW, "text")
-    records = rows.mapInArrow(_records(n, min_docs, min_chars, keep_first, window), RECORD)
-    streamed = records.repartitionById(n, "range").sortWithinPartitions("h1", "h2", FILE, ROW, "pos").mapInArrow(_stream(min_docs, keep_first), GONE)
+    records = rows.transform(arrow_map, _records(n, min_docs, min_chars, keep_first, window), RECORD)
+    streamed = records.repartitionById(n, "range").sortWithinPartitions("h1", "h2", FILE, ROW, "pos").transform(arrow_map, _stream(min_docs, keep_first), GONE)
     gathered = streamed.groupBy(FILE, ROW).agg(F.max("n_lines").alias("n_lines"), F.max("gone").alias("gone"), F.collect_list("pos").alias("pos"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
                 maps.append(bitmap(lines, own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(dropped, pa.int64()), pa.array(maps, pa.binary())], names=[FILE, ROW, "n_lines", "n_dropped", "bits"])
 
-    return gathered.mapInArrow(bits, "_file long, _row long, n_lines long, n_dropped long, bits binary")
+    return gathered.transform(arrow_map, bits, "_file long, _row long, n_lines long, n_dropped long, bits binary")
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: bool = True) -> DataFrame:
@@ -234,7 +234,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: bool = True) -> Dat
                 out.append(kept if text else hashlib.sha256(kept.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(out, pa.string())], names=["doc_id", "n_lines", "n_dropped", name])
 
-    return joined.mapInArrow(run, f"doc_id long, n_lines long, n_dropped long, {name} string")
+    return joined.transform(arrow_map, run, f"doc_id long, n_lines long, n_dropped long, {name} string")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, text: bool = True) -> DataFrame:

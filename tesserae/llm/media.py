@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import arrow_map, text_of
 
 
 @dataclass(frozen=True)
@@ -217,4 +217,4 @@ def audio(docs: DataFrame, settings: Settings = Settings(), digests: bool = Fals
                 names = [c.strip().split(" ")[0] for c in (DIGESTS if digests else COLUMNS.split(", segments")[0] + ", segments x").split(",")]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, DIGESTS if digests else COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(arrow_map, run, DIGESTS if digests else COLUMNS)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FILE, ROW, anchored, located, partitions, stored, text_of
+from tesserae.llm.common import FILE, ROW, anchored, arrow_map, located, partitions, stored, text_of
 from tesserae.llm.exact_dedup import identifier
 
 WORD = re.compile(r"\w+")
@@ -104,8 +104,8 @@ def idf(texts: DataFrame, s: Settings) -> np.ndarray:
     them apart, and a similarity means much the same in groups of two and of thousands. Tasks count into tables of one fixed size, which are summed in two more steps; the driver adds up a few.
     """
     spark = texts.sparkSession
-    parts = texts.mapInArrow(_counted(s), "counts binary, n long")
-    few = parts.repartition(min(16, partitions(spark))).mapInArrow(_summed(s), "counts binary, n long")
+    parts = texts.transform(arrow_map, _counted(s), "counts binary, n long")
+    few = parts.repartition(min(16, partitions(spark))).transform(arrow_map, _summed(s), "counts binary, n long")
     total, n = np.zeros(1 << s.frequency_bits, np.int64), 0
     for row in few.toLocalIterator():
         total += np.frombuffer(pa.decompress(row["counts"], 8 << s.frequency_bits, "zstd", asbytes=True), "<i8")
@@ -309,7 +309,7 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
     def compare(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct().join(all_tested, ["a", "b"], "left_anti")
         left = pairs.join(texts.toDF("a", "text_a"), "a")
-        return stored(left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_compared(table, s), "a binary, b binary, sim double"), "near-tested")
+        return stored(left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").transform(arrow_map, _compared(table, s), "a binary, b binary, sim double"), "near-tested")
 
     def joined(new: DataFrame) -> DataFrame:
         return components(labels.toDF("a", "b").union(new.select("a", "b"))).checkpoint()
@@ -348,7 +348,7 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
     # numbers first, so that a bucket of many blocks is spread by block before any text is attached
     both = q.select("key", "q").join(every.select("key", "e"), "key")
     both = both.join(every, ["key", "e"]).join(q, ["key", "q"]).select(F.col("q_rows").cast(BLOCK), F.col("e_rows").cast(BLOCK))
-    new = stored(both.mapInArrow(_between_blocks(table, s), "a binary, b binary"), "near-rest")
+    new = stored(both.transform(arrow_map, _between_blocks(table, s), "a binary, b binary"), "near-rest")
     if not new.isEmpty():
         links, labels = links.union(new), joined(new)
     return Links(links, labels)
@@ -368,7 +368,7 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa:
     docs = anchored(docs)
     rows = located(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), FILE, ROW, text_of().alias("text"))
     table = spark.sparkContext.broadcast(idf(rows.select("text"), s))
-    signed = stored(rows.mapInArrow(_signed(table, s), "doc_id long, _file long, _row long, node binary, bands array<long>"), "near-signed")
+    signed = stored(rows.transform(arrow_map, _signed(table, s), "doc_id long, _file long, _row long, node binary, bands array<long>"), "near-signed")
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(identifier()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import arrow_map, text_of
 
 #: Public formats of keys and tokens.
 FORMATS = {
@@ -295,4 +295,4 @@ def scan_documents(docs: DataFrame, forest: Forest, s: Settings = Settings()) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tried, pa.int32()), pa.array([len(f) for f in found], pa.int32()), pa.array(found, kind_of)], names=["doc_id", "n_candidates", "n_secrets", "secrets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.coalesce("source", F.lit("")).alias("source"))
-    return rows.mapInArrow(run, RESULT)
+    return rows.transform(arrow_map, run, RESULT)

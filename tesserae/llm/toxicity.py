@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import bounded_sample, text_of
+from tesserae.llm.common import arrow_map, bounded_sample, text_of
 
 #: Second-person words of the languages met so far.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch ihr sie tu te ti tus vous toi ton ta tes votre vos usted ustedes vosotros".split())
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
                 columns = [part.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), *(part.column(2 + i) for i in range(len(keep)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[F.col(k) for k in keep]).mapInArrow(run, "doc_id long, score double, predicted int" + fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[F.col(k) for k in keep]).transform(arrow_map, run, "doc_id long, score double, predicted int" + fields)
 
 
 def held_out() -> Column:
