@@ -6,16 +6,19 @@ linear softmax gives a probability for each language. Embeddings and weights are
 stochastic gradient descent in numpy on a bounded sample of labelled rows. As both layers are linear, a
 prediction needs the product of the two tables only: one row of class scores for each bucket.
 
-Rejection is calibrated on sampled rows that training did not see: a temperature makes the
-probabilities fit, and thresholds for the best probability and for the share of n-grams known from
-training are set so that they reject a stated share of good texts at most.
+Rejection is calibrated on sampled rows that training did not see. A temperature makes the probabilities
+fit. How *typical* a text is, is the mean log frequency of its n-grams among the languages learned, in standard
+deviations for texts of its length (a short text says little). Its threshold lies between texts that belong and texts that
+don't: the same rows with their letters shuffled, random letters, and the texts of each language as they look to a model that
+lacks it. Both error rates are kept with the model. Where the two overlap, texts that belong are kept.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +53,25 @@ class Settings:
     seed: int = 7
 
 
+#: Share of texts that don't belong which the threshold is held against, and where between them and those that do it lies.
+FOREIGN, BETWEEN = 0.9, 0.5
+
+
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # a row for each bucket: class scores (embeddings times weights), 1 if it was seen in training
+    table: np.ndarray  # a row for each bucket: class scores (embeddings times weights), log of its frequency
     bias: np.ndarray
     temperature: float
     least_probability: float
-    least_known: float
     bits: int
+    usual: tuple[float, float, float] = (0.0, 1.0, 1.0)  # how typical texts are: mean, variance of texts, variance of an n-gram
+    least_typical: float = -math.inf
+    errors: dict[str, float] = field(default_factory=dict)  # share of calibration rows that belong and are rejected, or do not and are accepted, by kind
+
+    def typical(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Standard deviations from the usual, for the mean log frequency of n n-grams."""
+        return (mean - self.usual[0]) / np.sqrt(self.usual[1] + self.usual[2] / np.maximum(1, n))
 
 
 def letters(text: str) -> np.ndarray:
@@ -88,7 +101,7 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
     """Train on four fifths of the rows and calibrate on the others. From no row with a letter comes a model that says ``und`` to all."""
     rows = [(letters(t), lang) for t, lang in zip(texts, langs, strict=True) if t and LETTER.search(t)]
     if not rows:
-        return Model([NO_LANGUAGE], np.zeros((1 << s.bits, 2), np.float32), np.zeros(1, np.float32), 1.0, 0.0, 0.0, s.bits)
+        return Model([NO_LANGUAGE], np.zeros((1 << s.bits, 2), np.float32), np.zeros(1, np.float32), 1.0, 0.0, s.bits)
     rng, languages = np.random.default_rng(s.seed), sorted({lang for _, lang in rows})
     code = {lang: i for i, lang in enumerate(languages)}
     own, held = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 50], [r for i, r in enumerate(rows) if i % 5 == 0]
@@ -96,15 +109,16 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
     emb = rng.normal(0, 0.1, (size, s.width)).astype(np.float32)
     out, bias = np.zeros((s.width, k), np.float32), np.zeros(k, np.float32)
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
-    known = np.zeros(size, bool)
+    seen = np.zeros((k, size))  # of each language, by texts alike
 
     def cut(b: np.ndarray) -> np.ndarray:
         n = int(rng.integers(*s.stretch))
         at = int(rng.integers(0, max(1, len(b) - n + 1)))
         return ngrams(b[at : at + n], s.bits)
 
-    for b, _ in own:
-        known[ngrams(b, s.bits)] = True
+    for b, lang in own:
+        g = ngrams(b[: 1 << 16], s.bits)  # of a very long text, as much as tells
+        seen[code[lang]] += np.bincount(g, minlength=size) / max(1, len(g))
     steps = max(1, s.epochs * len(own) // s.batch)
     for step in range(steps):
         pick = rng.integers(0, len(own), s.batch)
@@ -122,28 +136,73 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
         out -= rate * mean.T @ g / len(y) * 8
         bias -= rate * g.mean(axis=0)
         np.add.at(emb, flat, -rate * 16 * back[at])
-    model = Model(languages, np.column_stack([emb @ out, known]).astype(np.float32), bias, 1.0, 0.0, 0.0, s.bits)
-    _calibrate(model, held or own, code, s, rng)
+    seen /= np.maximum(seen.sum(axis=1, keepdims=True), 1e-12)
+    model = Model(languages, np.column_stack([emb @ out, _log_frequency(seen)]).astype(np.float32), bias, 1.0, 0.0, s.bits)
+    _calibrate(model, held or own, seen, code, s, rng)
     return model
 
 
-def _calibrate(model: Model, held: list, code: dict, s: Settings, rng: np.random.Generator) -> None:
+def _log_frequency(seen: np.ndarray) -> np.ndarray:
+    """Of each bucket among some languages, which count alike; one that none has counts as a hundredth of an even share."""
+    return np.log(seen.mean(axis=0) + 0.01 / seen.shape[1]) if len(seen) else np.zeros(seen.shape[1])
+
+
+def _shuffled(b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Bytes of the text in another order; word lengths stay. (Bytes of a letter may be parted: n-grams are of bytes.)"""
+    out, letter = b.copy(), b != 32
+    out[letter] = rng.permutation(b[letter])
+    return out
+
+
+def _random_letters(b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    out, letter = b.copy(), b != 32
+    out[letter] = rng.integers(97, 123, int(letter.sum()))
+    return out
+
+
+def _calibrate(model: Model, held: list, seen: np.ndarray, code: dict, s: Settings, rng: np.random.Generator) -> None:
     """Temperature by likelihood, then the thresholds, on whole texts and on short stretches of them."""
-    parts = [b for b, _ in held] + [b[(a := int(rng.integers(0, max(1, len(b) - 24)))) : a + 24] for b, _ in held]
+    texts = [b for b, _ in held]
+    short = [b[(a := int(rng.integers(0, max(1, len(b) - 24)))) : a + 24] for b in texts]
     y = np.array([code[lang] for _, lang in held] * 2)
-    z, share = class_scores(parts, model)
+    z, mean, n = class_scores(texts + short, model)
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     best = _softmax(z / model.temperature).max(axis=1)[: len(held)]
     # conservative, as the sample is too small to show a share that small and short good texts may look like two languages
     model.least_probability = float(min(s.chance / len(code), np.quantile(best, s.rejected) * 0.9))
-    model.least_known = float(0.5 * np.quantile(share[: len(held)], s.rejected))
-
-
-def class_scores(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Class scores of each text's letters and the share of its n-grams known from training."""
-    z, share = np.empty((len(parts), len(model.languages)), np.float32), np.empty(len(parts))
+    whole, part = mean[: len(held)], mean[len(held) :]
+    usual = float(np.median(whole))
+    of_texts = float(((whole - usual) ** 2).mean()) + 1e-6
+    of_ngrams = max(1e-6, (float(((part - usual) ** 2).mean()) - of_texts)) * float(np.median(n[len(held) :]))
+    model.usual = (usual, of_texts, max(of_ngrams, 1e-6))
+    own = model.typical(mean, n)
+    others = {kind: [change(b[: 1 << 12], rng) for b in texts] for kind, change in (("shuffled", _shuffled), ("random letters", _random_letters))}
+    foreign = {kind: model.typical(*class_scores(x, model)[1:]) for kind, x in others.items()}
+    if len(code) > 2:
+        found = []
+        for lang, i in code.items():
+            lacking = model.table.copy()
+            lacking[:, -1] = _log_frequency(np.delete(seen, i, axis=0))
+            # what the others are to the lacking model, this language is not
+            apart = Model(model.languages, lacking, model.bias, 1.0, 0.0, model.bits, model.usual)
+            rows = [[b[: 1 << 12] for b, x in held if (x == lang) == foreign_one] for foreign_one in (True, False)]
+            if rows[0] and rows[1]:
+                other, kept = (class_scores(x, apart)[1:] for x in rows)
+                apart.usual = (float(np.median(kept[0])), *model.usual[1:])
+                found.append(apart.typical(*other))
+        if found:
+            foreign["other languages"] = np.concatenate(found)
+    inside, outside = float(np.quantile(own, s.rejected)), float(np.quantile(np.concatenate(list(foreign.values())), FOREIGN))
+    model.least_typical = inside - max(BETWEEN * (inside - outside), 0.05 * abs(inside))
+    bad = (own < model.least_typical)[: len(held)] | (best < model.least_probability)
+    model.errors = {"rejected": float(bad.mean()), **{f"accepted, {kind}": float((x >= model.least_typical).mean()) for kind, x in foreign.items()}}
+
+
+def class_scores(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class scores of each text's letters, the mean log frequency of its n-grams, and their number."""
+    z, mean, count = np.empty((len(parts), len(model.languages)), np.float32), np.empty(len(parts)), np.empty(len(parts), np.int64)
     for i, b in enumerate(parts):
         total, n = np.zeros(model.table.shape[1]), 0
         for at in range(0, max(1, len(b)), 1 << 18):  # blocks of a very long text
@@ -151,8 +210,8 @@ def class_scores(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.
             if len(g):
                 total += np.ones(len(g), np.float32) @ model.table.take(g, axis=0)
                 n += len(g)
-        z[i], share[i] = total[:-1] / max(1, n) + model.bias, total[-1] / max(1, n)
-    return z, share
+        z[i], mean[i], count[i] = total[:-1] / max(1, n) + model.bias, total[-1] / max(1, n), n
+    return z, mean, count
 
 
 RESULT = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -162,7 +221,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     """The language of every whole text.
 
     Returns doc_id, lang_pred (``und`` for a null text or one without a letter), score (the calibrated
-    probability, 0 for ``und``), rejected (too improbable or too unlike the texts learned from; ``und``
+    probability, 0 for ``und``), rejected (too improbable or not typical enough of the texts learned from; ``und``
     as well), and the columns of ``docs`` named in ``keep`` under those names; one row for each row of
     ``docs``. Null doc_ids and repeated rows stay as they are; other columns are not read; an empty table
     gives an empty table. The model is a fixed-size table, sent to each worker once.
@@ -176,13 +235,13 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
             texts = batch.column(1).to_pylist()
             good = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if m.languages != [NO_LANGUAGE] else []
             lang, score, bad = [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            z, share = class_scores([letters(texts[i]) for i in good], m)
+            z, mean, n = class_scores([letters(texts[i]) for i in good], m)
             if good:
                 p = _softmax(z.astype(np.float64) / m.temperature)
-                for i, row, known in zip(good, p, share, strict=True):
+                for i, row, typical in zip(good, p, m.typical(mean, n).tolist(), strict=True):
                     k = int(row.argmax())
                     lang[i], score[i] = m.languages[k], float(min(1.0, row[k]))
-                    bad[i] = bool(row[k] < m.least_probability or known < m.least_known)
+                    bad[i] = bool(row[k] < m.least_probability or typical < m.least_typical)
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bad, pa.bool_()), *(batch.column(2 + i) for i in range(len(keep)))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected", *keep])
 

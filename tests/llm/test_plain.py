@@ -152,12 +152,38 @@ def test_language_model():
     words = {"xx": ["kala", "kula", "mala"], "yy": ["brest", "strob", "trest"]}
     rows = [(" ".join(rng.choices(words[lang], k=30)), lang) for lang in words for _ in range(80)]
     m = langid.fit([t for t, _ in rows], [lang for _, lang in rows], langid.Settings(epochs=10))
-    z, known = langid.class_scores([langid.letters(t) for t in ("Mala, kula!", "TREST strob")], m)
+    z, mean, n = langid.class_scores([langid.letters(t) for t in ("Mala, kula!", "TREST strob")], m)
     assert [m.languages[i] for i in z.argmax(axis=1)] == ["xx", "yy"]
-    assert langid.class_scores([langid.letters("这是一个测试")], m)[1][0] < m.least_known < known.min()
+    other = langid.class_scores([langid.letters("这是一个测试")], m)
+    assert m.typical(*other[1:])[0] < m.least_typical < m.typical(mean, n).min()
     assert langid.fit([], []).languages == ["und"]
 
 
+def test_language_rejection_has_both_errors():
+    """Texts of three made-up languages stay; a fourth one, shuffled letters and other scripts go."""
+    rng = random.Random(6)
+    syllables = {"xx": "ka lu mi ro ne sa ti vo", "yy": "brest strum plokt grund schen werg", "zz": "ée oui eau aux que tion ment", "none": "wzr pły szcz dźw krz ąćh"}
+
+    def text(lang):
+        s = syllables[lang].split()
+        return " ".join("".join(rng.choices(s, k=rng.randint(1, 4))) for _ in range(rng.randint(20, 60)))
+
+    rows = [(text(lang), lang) for lang in ("xx", "yy", "zz") for _ in range(300)]
+    m = langid.fit([t for t, _ in rows], [lang for _, lang in rows])
+
+    def rejected(texts):
+        _, mean, n = langid.class_scores([langid.letters(t) for t in texts], m)
+        return float((m.typical(mean, n) < m.least_typical).mean())
+
+    assert rejected([text(lang) for lang in ("xx", "yy", "zz") for _ in range(200)]) == 0
+    letters = [c for c in text("xx") + text("yy") + text("zz") if c != " "]
+    assert rejected([text("none") for _ in range(100)]) == 1
+    assert rejected([" ".join("".join(rng.choices(letters, k=5)) for _ in range(30)) for _ in range(100)]) > 0.95
+    assert rejected(["这是一个测试，看看它会不会被拒绝", "Все люди рождаются свободными и равными"]) == 1
+    assert set(m.errors) == {"rejected", "accepted, shuffled", "accepted, random letters", "accepted, other languages"} and m.errors["rejected"] == 0
+    assert max(m.errors.values()) <= 0.1
+
+
 def test_ngrams_of_blocks_are_those_of_the_whole():
     b = langid.letters("the quick brown fox jumps over the lazy dog " * 20)
     whole = np.bincount(langid.ngrams(b, 12), minlength=4096)
