@@ -2,9 +2,9 @@
 
 1. Each task reads texts in windows of bounded size, hashes line keys (128 bits) and counts them
    within the window. A key that reaches ``min_docs`` documents inside one window is decided there:
-   its lines are marked on the spot, and the key itself is passed on once. Any other key
-   passes on one record per line. So a key never has more than ``min_docs`` records a window, however
-   hot it is.
+   its lines are marked on the spot, and the key itself is passed on once, as known to be hot, by its task. Any other key
+   passes on one record per line. So a hot key has one record a task and fewer than ``min_docs`` documents' for each
+   window in which it isn't hot.
 2. Records are dealt by equal ranges of the hash (hashes are uniform, so no sampling pass is needed)
    and sorted by hash, document and position. A stream over each range emits the positions that go:
    all of a key in ``min_docs`` documents or more, or (``keep_first``) all but the first. It holds the
@@ -28,6 +28,8 @@ from tesserae.llm.common import FILE, ROW, anchored, arrow_map, located, partiti
 
 #: What is stripped at both ends of a line.
 BLANKS = b" \t\n\x0b\x0c\r"
+#: The position of a record that tells of a hot key, and its file and row, which sort before all others; hot keys that a task remembers having told of.
+HOT, FIRST, KNOWN = -1, -(2**63), 100_000
 RECORD = "range int, h1 long, h2 long, _file long, _row long, n_lines long, gone binary, pos int"
 GONE = "_file long, _row long, n_lines long, gone binary, pos int"
 
@@ -64,6 +66,8 @@ def _records(ranges: int, min_docs: int, min_chars: int, keep_first: bool, windo
     def batch(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+    known: set = set()  # hot keys that this task has told of
+
     def decide(where: list, hashes: list, docs: list, places: list) -> Iterator[pa.RecordBatch]:
         """where: (file, row, number of lines) of each document of the window."""
         files, rows, counts = (np.array(x, np.int64) for x in zip(*where, strict=True))
@@ -84,9 +88,17 @@ def _records(ranges: int, min_docs: int, min_chars: int, keep_first: bool, windo
             hot = (n_docs >= min_docs)[key] if not keep_first else np.zeros(len(h), bool)
             for d, p in zip(doc[hot].tolist(), pos[hot].tolist(), strict=True):
                 gone[d].append(p)
-            # the stream needs the first lines of a hot key as proof that it is hot
-            rank = np.cumsum(new_doc) - np.cumsum(new_doc)[first][key]
-            out = ~hot | (new_doc & (rank < min_docs))
+            out = ~hot
+            if hot.any():  # the stream is told of a hot key by one record, which comes first and is no line
+                told = h[first[n_docs >= min_docs]]
+                new_ones = [x for x in map(tuple, told.tolist()) if x not in known]
+                if len(known) > KNOWN:
+                    known.clear()
+                known.update(new_ones)
+                if new_ones:
+                    told, m = np.array(new_ones, np.uint64), len(new_ones)
+                    at = (told[:, 0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                    yield batch(at.astype(np.int32), told[:, 0].copy().view(np.int64), told[:, 1].copy().view(np.int64), np.full(m, FIRST), np.full(m, FIRST), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), np.full(m, HOT, np.int32))
             if keep_first:  # all but a window's first line go at once, wherever the key's first one is
                 for d, p in zip(doc[~new].tolist(), pos[~new].tolist(), strict=True):
                     gone[d].append(p)
@@ -154,7 +166,8 @@ def _stream(min_docs: int, keep_first: bool):
                     yield out(f[going], r[going], p[going])
                 continue
             n_docs = np.add.reduceat(new_doc, starts[:-1])
-            going = (n_docs >= min_docs)[np.cumsum(new) - 1]
+            hot = np.logical_or.reduceat(p == HOT, starts[:-1])
+            going = ((n_docs >= min_docs) | hot)[np.cumsum(new) - 1] & (p != HOT)
             going[starts[-2] :] = False
             head = slice(0, starts[1])
             if open_key == (h1[0], h2[0]):
@@ -167,20 +180,25 @@ def _stream(min_docs: int, keep_first: bool):
                     yield from settle(held, decided, min_docs, out)
                 last = slice(starts[-2], len(p))
                 held, decided, open_key = [(f[last], r[last], p[last])], False, (h1[-1], h2[-1])
-            if decided or distinct(held) >= min_docs:
+            if decided or proven(held, min_docs):
                 decided = True
-                yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield from lines(held, out)
                 held = []
             if going.any():
                 yield out(f[going], r[going], p[going])
 
-    def distinct(held) -> int:
-        f, r = (np.concatenate(x) for x in list(zip(*held, strict=True))[:2])
-        return 1 + int(((f[1:] != f[:-1]) | (r[1:] != r[:-1])).sum())
+    def proven(held, least: int) -> bool:
+        f, r, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        return bool((p == HOT).any()) or 1 + int(((f[1:] != f[:-1]) | (r[1:] != r[:-1])).sum()) >= least
+
+    def lines(held, out):
+        f, r, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        if (p != HOT).any():
+            yield out(f[p != HOT], r[p != HOT], p[p != HOT])
 
     def settle(held, decided, least, out):
-        if decided or distinct(held) >= least:
-            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if decided or proven(held, least):
+            yield from lines(held, out)
 
     return run
 
