@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Column names reserved for the operators' own use inside a plan.
@@ -41,6 +41,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file, in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -81,10 +88,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _locator(docs: DataFrame) -> tuple[Column, Column]:
+    # by metadataColumn, as a table may have a column named _metadata
+    metadata = docs.metadataColumn("_metadata")
+    return F.xxhash64(metadata.getField("file_path")), metadata.getField("row_index")
+
+
 def anchored(docs: DataFrame) -> DataFrame:
     """``docs`` itself if its rows have locators, else a stored copy of it, whose rows have."""
     try:
-        docs.select("_metadata.row_index").schema  # resolves the plan
+        docs.select(*_locator(docs)).schema  # resolves the plan
         return docs
     except AnalysisException:
         return stored(docs, "rows")
@@ -92,10 +105,20 @@ def anchored(docs: DataFrame) -> DataFrame:
 
 def located(docs: DataFrame, *columns: str) -> DataFrame:
     """The given columns of anchored ``docs`` with the locator columns ``_file`` and ``_row``."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    file, row = _locator(docs)
+    return docs.select(*[F.col(f"`{c}`") for c in columns], file.alias(FILE), row.alias(ROW))
+
+
+def rows_of(docs: DataFrame, located_rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of anchored ``docs`` whose locators are in ``located_rows``; columns named like the locators are kept apart."""
+    file, row = _locator(docs)
+    inside = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, inside, strict=True)], file.alias(FILE), row.alias(ROW))
+    out = numbered.join(located_rows.select(FILE, ROW), [FILE, ROW], how)
+    return out.select(*[F.col(x).alias(c) for c, x in zip(docs.columns, inside, strict=True)])
 
 
-def text_of(column: str = "text") -> "F.Column":
+def text_of(column: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -6,7 +6,8 @@ rows. Tasks aggregate before the shuffle, so a group of copies is a row per task
 The stream takes bounded micro-batches and starts again from its checkpoint in the shared folder.
 
 Digests alone don't decide: rows whose digest was hit again are grouped by their full texts (combined
-before the shuffle as well), and a digest with two texts is split up by text.
+before the shuffle as well), and a digest with two texts is split up by text. Only texts of hits move: a filter of bounded size, of
+hashed locators of hits, is applied where texts are read, so other texts never enter a shuffle (but for the filter's false positives).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FILE, ROW, anchored, located, shared_folder, stored, text_of
+from tesserae.llm.common import FILE, ROW, anchored, exists, located, rows_of, shared_folder, stored, text_of
 
 #: Each run of these characters counts as one space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -71,30 +72,51 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, batch_bytes: int
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{first}`").alias("first"), F.col(f"value.`{n}`").alias("n"))
 
 
-def dedup(docs: DataFrame, bits: int = 256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+#: Words of 64 bits of the filter of hits, at most (8 MB; a broadcast of about 40 MB).
+FILTER_WORDS = 1 << 20
+#: Parts in which copies are combined first, then all together, so that no task gets a row of a hot group from every task before it.
+COMBINERS = 16
+
+
+def filtered(rows: DataFrame, hits: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """``rows`` without most of those whose locators aren't in ``hits``; none that is gets lost.
+
+    Rows with ``_file`` and ``_row``. A hash of the locator is a bit of ``words`` words, which is what is broadcast, however many hits there are: beyond some ten million
+    hits the filter lets more and more other rows pass.
+    """
+    at = F.pmod(F.xxhash64(FILE, ROW), F.lit(64 * words))
+    word, bit = F.shiftright(at, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    table = hits.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.withColumn("_word", word).join(F.broadcast(table), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
+def dedup(docs: DataFrame, bits: int = 256, batch_bytes: int = BATCH_BYTES, folder: str | None = None) -> DataFrame:
     """The group of equal texts of every row.
 
     Texts are equal if identical once each run of ``[\\x20\\x09-\\x0D]`` is one space; null counts as
     empty. Of equal texts the row with the smallest doc_id stays (null ids come last; of rows with one
     doc_id, the first by locator). Returns, one row for each row of ``docs``: doc_id, _file, _row, keep_id,
     group_size, kept, text_sha256. Other columns are not read; an empty table gives an empty table.
-    ``bits`` shortens the digests of the state, for tests of what happens when two texts share one.
+    ``bits`` shortens the digests of the state, for tests of what happens when two texts share one. ``folder``, in a store that all machines
+    reach, keeps digests and state: a call that was broken off goes on where it was if it is called again with the same ``docs`` and folder.
     """
     spark = docs.sparkSession
     docs = anchored(docs)
     sha = F.sha2(normalised(text_of()).cast("binary"), 256)
     rows = located(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), FILE, ROW, text_of().alias("text"))
-    folder = shared_folder(spark, "exact")
+    folder = folder or shared_folder(spark, "exact")
     table = rows.select("doc_id", FILE, ROW, F.unhex(sha).alias("sha")).withColumn("digest", F.col("sha") if bits == 256 else F.substring("sha", 1, bits // 8))
-    table.write.parquet(f"{folder}/digests")
+    if not exists(spark, f"{folder}/digests/_SUCCESS"):
+        table.write.mode("overwrite").parquet(f"{folder}/digests")
     state = run_stream(spark, f"{folder}/digests", f"{folder}/checkpoint", batch_bytes)
     digests = spark.read.schema(table.schema).parquet(f"{folder}/digests")
 
     # hits: rows of a digest that more than one row has, by full text
     joined = stored(digests.join(state, "digest").select("doc_id", FILE, ROW, "sha", "digest", "first", "n"), "exact-joined")
     hits = joined.where("n > 1").select(FILE, ROW, "digest")
-    texts = rows.select(FILE, ROW, "doc_id", normalised(F.col("text")).alias("norm")).join(hits, [FILE, ROW])
-    classes = texts.groupBy("digest", "norm").agg(F.min(identifier()).alias("first"), F.count(F.lit(1)).alias("n"))
+    texts = filtered(rows, hits).join(hits, [FILE, ROW]).select(FILE, ROW, "doc_id", normalised(F.col("text")).alias("norm"), "digest")
+    parts = texts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(COMBINERS))).groupBy("digest", "norm", "part").agg(F.min(identifier()).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = parts.groupBy("digest", "norm").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     split = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("digest")
     split = split.checkpoint()  # empty but for digests that two texts share
     out = joined
@@ -111,8 +133,6 @@ def dedup(docs: DataFrame, bits: int = 256, batch_bytes: int = BATCH_BYTES) -> D
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts (see ``dedup``)."""
+    """``docs`` with one row of each group of equal texts (see ``dedup``), with all of its columns, whatever their names."""
     docs = anchored(docs)
-    columns = docs.columns
-    stays = dedup(docs).where("kept").select(FILE, ROW)
-    return located(docs, *docs.columns).join(stays, [FILE, ROW], "left_semi").select(*docs.columns)
+    return rows_of(docs, dedup(docs).where("kept"))

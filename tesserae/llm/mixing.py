@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FILE, ROW, anchored, located, stored, text_of
+from tesserae.llm.common import FILE, ROW, anchored, located, rows_of, stored, text_of
 
 #: Bins of a permutation, and parts of a step of the search.
 BINS, PARTS, STEPS = 4096, 16, 6
@@ -158,5 +158,4 @@ def mixture(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B0
 def mixed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """``docs`` as the mixture has it: rows that are picked more than once are repeated, others may be left out."""
     docs = anchored(docs)
-    picked = mixture(docs, s).select(FILE, ROW)
-    return located(docs, *docs.columns).join(picked, [FILE, ROW]).select(*docs.columns)
+    return rows_of(docs, mixture(docs, s), how="inner")

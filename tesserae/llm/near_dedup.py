@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FILE, ROW, anchored, arrow_map, located, partitions, stored, text_of
+from tesserae.llm.common import FILE, ROW, anchored, arrow_map, located, partitions, rows_of, stored, text_of
 from tesserae.llm.exact_dedup import identifier
 
 WORD = re.compile(r"\w+")
@@ -387,7 +387,6 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa:
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """``docs`` with one row of each class of near-duplicates (see ``near_dedup``)."""
+    """``docs`` with one row of each class of near-duplicates (see ``near_dedup``), with all of its columns, whatever their names."""
     docs = anchored(docs)
-    stays = near_dedup(docs, s).where("kept").select(FILE, ROW)
-    return located(docs, *docs.columns).join(stays, [FILE, ROW], "left_semi").select(*docs.columns)
+    return rows_of(docs, near_dedup(docs, s).where("kept"))

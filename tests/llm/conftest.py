@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, bands string, digest string, name string, block string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, bands string, digest string, name string, block string, _file string, _row string, _metadata string, held_out string, rejected string"
 LONG = "the very long text goes on and on with words \n" * 20_000
 ROWS = [
     (1, "You idiot, the cat sat on the mat and looked at the moon all night long", "en", "a"),
@@ -23,7 +23,7 @@ ROWS = [
 def odd(spark, tmp_path_factory):
     """Nulls, empty and very long texts, copies, repeated rows, and columns with names that the operators use inside."""
     path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
-    rows = [(i, t, lang, src, None if t is None else len(t), "x", "x", "x", "x", "x") for i, t, lang, src in ROWS]
+    rows = [(i, t, lang, src, None if t is None else len(t), *["x"] * 10) for i, t, lang, src in ROWS]
     spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(path)
     return spark.read.parquet(path)
 
