@@ -1,13 +1,14 @@
 """Near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 * A text's features are its shingles of five words, weighted by count times inverse document frequency.
-  Document frequencies cover all documents: they are counted in a fixed number of hashed buckets, so the
-  table has one size for every corpus, and what falls together in a bucket is the same small share of the
-  corpus at every size (mean shingles a text / buckets).
+  Document frequencies cover all documents: they are counted in a count sketch (three rows of signed counters, the median of
+  which is the estimate), so the table has one size for every corpus. What shares a counter cancels out: the error grows with the root
+  of the number of documents, so rare and frequent shingles stay apart at every size.
 * Improved consistent weighted sampling (Ioffe 2010) draws 64 samples (shingle, level) of each weighted
   set; two sets agree in one with the probability of their weighted Jaccard similarity. The samples are
   banded (16 bands of 4); texts that share a band's bucket may be similar.
 * Texts with the same weighted set are one *node* (its fingerprint), so copies cost a row each and no pair.
+* Each band draws from a row of random numbers of its own for each shingle, so bands are independent of each other.
 * Each bucket compares its members with a pivot, its smallest node, by exact weighted Jaccard similarity
   over the whole texts. Buckets whose other members aren't all in one component go on with the
   untried member that is most similar to the last pivot, the likely origin of the others. After a few rounds
@@ -38,14 +39,14 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Settings:
-    """words: of a shingle. similar: least weighted Jaccard similarity of a link. frequency_bits: log2 of the document-frequency buckets. table_bits: log2 of the rows of random numbers."""
+    """words: of a shingle. similar: least weighted Jaccard similarity of a link. frequency_bits: log2 of the counters in a row of the sketch. table_bits: log2 of the rows of random numbers that a band draws from."""
 
     words: int = 5
     similar: float = 0.8
     bands: int = 16
     band_rows: int = 4
-    frequency_bits: int = 18
-    table_bits: int = 15
+    frequency_bits: int = 17
+    table_bits: int = 16
     rounds: int = 2
     seed: int = 1
 
@@ -64,58 +65,88 @@ def shingles(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
+#: Odd multipliers of the sketch's rows; parts that the sketch is summed in.
+ROWS, PARTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64), 64
+
+
+def counters(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each shingle and row of the sketch, its counter (numbered through all rows) and its sign."""
+    m = (h ^ (h >> np.uint64(32)))[None, :] * ROWS[:, None]
+    at = (m >> np.uint64(64 - bits)).astype(np.int64) + (np.arange(len(ROWS)) << bits)[:, None]
+    return at, ((m >> np.uint64(63 - bits)) & np.uint64(1)).astype(np.int8) * 2 - 1
+
+
+@dataclass
+class Frequencies:
+    """A count sketch of the number of documents that each shingle is in, and the number of documents."""
+
+    counts: np.ndarray
+    n: int
+    bits: int
+
+    def documents(self, h: np.ndarray) -> np.ndarray:
+        """How many documents each shingle is in: the median of its counters, 1 at least."""
+        at, sign = counters(h, self.bits)
+        return np.clip(np.median(self.counts.take(at) * sign, axis=0) if len(h) else np.zeros(0), 1, max(1, self.n))
+
+    def idf(self, h: np.ndarray) -> np.ndarray:
+        """1 + ln((1 + documents) / (1 + documents with the shingle)) / ln(2 + documents), from 1 (everywhere) to 2.
+
+        Scaled to that range so that what a large group of copies shares still outweighs what tells two of them apart, and a
+        similarity means much the same in groups of two and of thousands.
+        """
+        return (1 + np.log((1 + self.n) / (1 + self.documents(h))) / np.log(2 + self.n)).astype(np.float32)
+
+
 def _counted(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(1 << s.frequency_bits, np.int64), 0
+        table, n = np.zeros(len(ROWS) << s.frequency_bits, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 h, _ = shingles(text, s.words)
-                if len(h):
-                    np.add.at(table, (h >> np.uint64(64 - s.frequency_bits)).astype(np.int64), 1)
-                    n += 1
+                for at in range(0, len(h), 1 << 18):
+                    np.add.at(table, *counters(h[at : at + (1 << 18)], s.frequency_bits))
+                n += len(h) > 0
         if n:
-            yield from _blob(table, n)
+            yield from _blobs(enumerate(np.array_split(table, PARTS)), n)
 
     return run
 
 
-def _blob(table: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    packed = pa.compress(table.astype("<i8").tobytes(), "zstd", asbytes=True)
-    yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary()), pa.array([n], pa.int64())], names=["counts", "n"])
+def _blobs(parts, n: int) -> Iterator[pa.RecordBatch]:
+    numbers, packed = zip(*((i, pa.compress(x.astype("<i8").tobytes(), "zstd", asbytes=True)) for i, x in parts), strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary()), pa.array([n] * len(numbers), pa.int64())], names=["part", "counts", "n"])
 
 
 def _summed(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(1 << s.frequency_bits, np.int64), 0
+        parts, n = [len(x) for x in np.array_split(np.zeros(len(ROWS) << s.frequency_bits, np.int8), PARTS)], 0
+        sums: dict[int, np.ndarray] = {}
+        of: dict[int, int] = {}
         for batch in batches:
-            for blob, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                table += np.frombuffer(pa.decompress(blob.as_buffer(), 8 << s.frequency_bits, "zstd", asbytes=True), "<i8")
-                n += k
-        if n:
-            yield from _blob(table, n)
+            for i, blob, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = np.frombuffer(pa.decompress(blob.as_buffer(), 8 * parts[i], "zstd", asbytes=True), "<i8")
+                sums[i] = sums[i] + own if i in sums else own.copy()
+                of[i] = of.get(i, 0) + k
+        for i, x in sums.items():
+            yield from _blobs([(i, x)], of[i])
 
     return run
 
 
-def idf(texts: DataFrame, s: Settings) -> np.ndarray:
-    """1 + ln((1 + documents) / (1 + documents of the bucket)) / ln(2 + documents) for each bucket, over every text of the one column.
-
-    Scaled to run from 1 to 2, so that what a large group of copies shares still outweighs what tells two of
-    them apart, and a similarity means much the same in groups of two and of thousands. Tasks count into tables of one fixed size, which are summed in two more steps; the driver adds up a few.
-    """
-    spark = texts.sparkSession
-    parts = texts.transform(arrow_map, _counted(s), "counts binary, n long")
-    few = parts.repartition(min(16, partitions(spark))).transform(arrow_map, _summed(s), "counts binary, n long")
-    total, n = np.zeros(1 << s.frequency_bits, np.int64), 0
-    for row in few.toLocalIterator():
-        total += np.frombuffer(pa.decompress(row["counts"], 8 << s.frequency_bits, "zstd", asbytes=True), "<i8")
-        n += row["n"]
-    return (1 + np.log((1 + n) / (1 + total)) / np.log(2 + n)).astype(np.float32)
+def frequencies(texts: DataFrame, s: Settings) -> Frequencies:
+    """The sketch over every text of the one column. Tasks count into sketches of one fixed size; each of their parts is summed by itself, and the driver gets the sums."""
+    columns = "part int, counts binary, n long"
+    summed = texts.transform(arrow_map, _counted(s), columns).repartition(partitions(texts.sparkSession), "part").transform(arrow_map, _summed(s), columns)
+    table, n = np.array_split(np.zeros(len(ROWS) << s.frequency_bits, np.int64), PARTS), 0
+    for row in summed.toLocalIterator():  # PARTS rows
+        table[row["part"]] = np.frombuffer(pa.decompress(row["counts"], table[row["part"]].nbytes, "zstd", asbytes=True), "<i8")
+        n = row["n"]
+    return Frequencies(np.concatenate(table).astype(np.float32), n, s.frequency_bits)
 
 
-def weights(h: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    bits = np.uint64(64 - (len(table) - 1).bit_length())
-    return counts.astype(np.float32) * table[(h >> bits).astype(np.int64)]
+def weights(h: np.ndarray, counts: np.ndarray, table: Frequencies) -> np.ndarray:
+    return counts.astype(np.float32) * table.idf(h)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -128,25 +159,27 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 @lru_cache(maxsize=1)
 def _random(s: Settings) -> tuple[np.ndarray, ...]:
-    """1/r, beta, r and ln c - r: a row for each value of some bits of a shingle's hash, a column for each sample."""
-    rng, shape = np.random.default_rng(s.seed), (1 << s.table_bits, s.bands * s.band_rows)
+    """1/r, beta, r and ln c - r: rows that a shingle's hash chooses from, a column for each sample of a band; and a multiplier for each band."""
+    rng, shape = np.random.default_rng(s.seed), (1 << s.table_bits, s.band_rows)
     r = rng.gamma(2, 1, shape)
     c = rng.gamma(2, 1, shape)
     beta = rng.random(shape)
-    return tuple(x.astype(np.float32) for x in (1 / r, beta, r, np.log(c) - r))
+    odd = rng.integers(0, 1 << 63, s.bands, np.uint64) * np.uint64(2) + np.uint64(1)
+    return *(x.astype(np.float32) for x in (1 / r, beta, r, np.log(c) - r)), odd
 
 
 def samples(h: np.ndarray, w: np.ndarray, s: Settings) -> np.ndarray:
-    """One hash of (shingle, level) for each sample. Ties go to the smaller shingle hash."""
-    per_r, beta, r, c = _random(s)
-    row = ((h >> np.uint64(8)) & np.uint64((1 << s.table_bits) - 1)).astype(np.int64)
+    """One hash of (shingle, level) for each sample, band by band. Ties go to the smaller shingle hash."""
+    per_r, beta, r, c, odd = _random(s)
+    mixed = h ^ (h >> np.uint64(29))
     log_w = np.log(w)
     best, level, which = None, None, None
     for at in range(0, len(h), 512):  # blocks that stay in cache; long texts need no more memory
-        k = row[at : at + 512]
-        b = beta.take(k, axis=0)
-        t = np.floor(log_w[at : at + 512, None] * per_r.take(k, axis=0) + b)
-        a = c.take(k, axis=0) - r.take(k, axis=0) * (t - b)
+        k = (mixed[at : at + 512, None] * odd >> np.uint64(64 - s.table_bits)).astype(np.int64)  # the row of each shingle in each band
+        draw = lambda table: table.take(k, axis=0).reshape(len(k), -1)  # noqa: B023, E731
+        b = draw(beta)
+        t = np.floor(log_w[at : at + 512, None] * draw(per_r) + b)
+        a = draw(c) - draw(r) * (t - b)
         i = a.argmin(axis=0)
         own = np.take_along_axis(a, i[None], 0)[0]
         t = np.take_along_axis(t, i[None], 0)[0]
@@ -204,7 +237,7 @@ def _compared(table, s: Settings):
     return run
 
 
-def _elements(text: str, table: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def _elements(text: str, table: Frequencies, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """A weighted set as a plain set: a shingle that is there n times as n elements. Sums of shared elements' weights are sums of smaller weights."""
     h, counts = shingles(text, s.words)
     w = weights(h, np.ones(len(h), np.int64), table)
@@ -265,12 +298,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it is linked to, over any number of links) for every node of the edges (a, b).
 
     Alternating large-star and small-star steps until nothing changes; each step is written to the
-    checkpoint folder. Smallest neighbours are aggregated before the shuffle, so a hub is no hot key there.
+    checkpoint folder. Smallest neighbours are aggregated before the shuffle; they are written before they are joined, so that
+    a hub's neighbours can be split over tasks (as skewed joins are, of two plain shuffles).
     """
 
     def step(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("b", "a")).toDF("u", "v") if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
         linked = both.join(least, "u")
         if large:
             out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -314,7 +348,8 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
     def joined(new: DataFrame) -> DataFrame:
         return components(labels.toDF("a", "b").union(new.select("a", "b"))).checkpoint()
 
-    open_ = members.join(members.groupBy("key").agg(F.min("node").alias("pivot")), "key").withColumns({"used": F.lit(False), "label": F.col("node")})
+    # what is aggregated by key is written before it is joined by key: a bucket that holds a large group is then split over tasks
+    open_ = members.join(members.groupBy("key").agg(F.min("node").alias("pivot")).checkpoint(), "key").withColumns({"used": F.lit(False), "label": F.col("node")})
     for turn in range(s.rounds):
         pairs = open_.where("node <> pivot AND label <> pivot_label" if turn else "node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"))
         done = compare(pairs)
@@ -325,22 +360,22 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
             labels = joined(new)
         # buckets whose members, but for the pivots, aren't all of one component
         m = open_.drop("label", "pivot_label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("used", F.col("used") | (F.col("node") == F.col("pivot")))
-        keys = m.where("NOT used").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        keys = m.where("NOT used").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key").checkpoint()
         sims = done.toDF("node", "pivot", "sim").union(done.select("b", "a", "sim").toDF("node", "pivot", "sim"))
         m = m.join(keys, "key", "left_semi").join(sims, ["node", "pivot"], "left")
         best = m.where("NOT used").groupBy("key").agg(F.max_by(F.struct("node", "label"), F.struct(F.coalesce("sim", F.lit(0.0)), "node")).alias("next"))
-        open_ = m.drop("pivot", "sim").join(best.select("key", F.col("next.node").alias("pivot"), F.col("next.label").alias("pivot_label")), "key").checkpoint()
+        open_ = m.drop("pivot", "sim").join(best.select("key", F.col("next.node").alias("pivot"), F.col("next.label").alias("pivot_label")).checkpoint(), "key").checkpoint()
         if open_.isEmpty():
             return Links(links, labels)
     # the rest: members outside a bucket's largest component against all members, block by block
     m = open_.where("NOT used").select("key", "node", "label").join(known.select("node", "size"), "node")
     counts = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main")).checkpoint()
     m = m.join(main, "key").withColumn("outside", F.col("label") != F.col("main")).checkpoint()
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         """key, <name> (number) and <name>_rows; about 256 texts or a million characters a block."""
-        sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / 256), F.ceil(F.sum("size") / 1_000_000)).alias("blocks"))
+        sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / 256), F.ceil(F.sum("size") / 1_000_000)).alias("blocks")).checkpoint()
         dealt = rows.join(sizes, "key").withColumn(name, F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
         return stored(dealt.join(texts, "node").groupBy("key", name).agg(F.collect_list(F.struct("node", "label", "text")).alias(f"{name}_rows")), "near-blocks")
 
@@ -367,11 +402,11 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa:
     spark = docs.sparkSession
     docs = anchored(docs)
     rows = located(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), FILE, ROW, text_of().alias("text"))
-    table = spark.sparkContext.broadcast(idf(rows.select("text"), s))
+    table = spark.sparkContext.broadcast(frequencies(rows.select("text"), s))
     signed = stored(rows.transform(arrow_map, _signed(table, s), "doc_id long, _file long, _row long, node binary, bands array<long>"), "near-signed")
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(identifier()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key").checkpoint()
     members = stored(keyed.join(shared, "key"), "near-members")
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("first.file").alias(FILE), F.col("first.row").alias(ROW)), "node")
     texts = stored(rows.select(FILE, ROW, "text").join(wanted, [FILE, ROW]).select("node", "text"), "near-texts")

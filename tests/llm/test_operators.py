@@ -105,30 +105,38 @@ def test_lines_odd(odd, none):
     assert by_id(line_dedup.dedup_lines(odd.where("doc_id > 8").withColumn("text", F.upper("text")), min_docs=2))  # not straight from a file
 
 
-def brute_near(texts, s):
-    """Classes by comparing all pairs."""
+def all_pairs(texts, s):
+    """Links and classes by comparing all pairs, with exact document frequencies."""
     sets = [near_dedup.shingles(t, s.words) for t in texts]
     n = sum(len(h) > 0 for h, _ in sets)
-    df = Counter(int(x) >> (64 - s.frequency_bits) for h, _ in sets for x in h)
-    table = np.array([1 + np.log((1 + n) / (1 + df[i])) / np.log(2 + n) for i in range(1 << s.frequency_bits)], np.float32)
-    w = [(h, near_dedup.weights(h, n, table)) for h, n in sets]
-    parent = list(range(len(texts)))
+    df = Counter(int(x) for h, _ in sets for x in h)
+    idf = {x: np.float32(1 + np.log((1 + n) / (1 + k)) / np.log(2 + n)) for x, k in df.items()}
+    w = [(h, counts.astype(np.float32) * np.array([idf[int(x)] for x in h], np.float32)) for h, counts in sets]
+    parent, links = list(range(len(texts))), []
 
     def top(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if len(w[i][0]) and len(w[j][0]) and near_dedup.weighted_jaccard(w[i], w[j]) >= s.similar:
+    some = [i for i, x in enumerate(w) if len(x[0])]
+    elements = [(np.repeat(h, c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.repeat(np.array([idf[int(x)] for x in h], np.float32), c)) for h, c in sets]
+    for i, j in near_dedup.similar_between([elements[i] for i in some], [elements[i] for i in some], s.similar).tolist():
+        i, j = some[i], some[j]
+        if i < j:
+            links.append((i, j))
             a, b = sorted((top(i), top(j)))
             parent[b] = a
-    return [top(i) for i in range(len(texts))]
+    return links, [top(i) for i in range(len(texts))]
+
+
+def brute_near(texts, s):
+    return all_pairs(texts, s)[1]
 
 
 def test_near(spark, tmp_path):
     """Copies of a few texts with more and more words changed, so that many pairs lie about the limit."""
-    rng, s = random.Random(5), near_dedup.Settings(frequency_bits=12, table_bits=10)
+    rng, s = random.Random(5), near_dedup.Settings(table_bits=10)
     texts = []
     for _ in range(6):
         base = [f"w{rng.randrange(3000)}" for _ in range(120)]
@@ -149,7 +157,7 @@ def test_near(spark, tmp_path):
 @pytest.mark.parametrize("rounds", [0, 1, 3])
 def test_near_links_in_a_bucket(spark, rounds):
     """One bucket of a hub and its copies, of a chain, and of texts that are like none: links are those of all pairs."""
-    rng, s = random.Random(8), near_dedup.Settings(rounds=rounds, frequency_bits=8)
+    rng, s = random.Random(8), near_dedup.Settings(rounds=rounds)
     base = [f"b{i}" for i in range(100)]
     texts = [base]
     for k in range(8):  # each like the hub, not like each other
@@ -160,7 +168,8 @@ def test_near_links_in_a_bucket(spark, rounds):
     texts += [[f"f{k}_{i}" for i in range(50)] for k in range(4)]
     texts = [" ".join(t) for t in texts]
     rng.shuffle(texts)
-    table = np.ones(256, np.float32)
+    table = near_dedup.Frequencies(np.zeros(3 << 8, np.float32), 1, 8)  # every weight is 1
+    assert (table.idf(np.arange(9, dtype=np.uint64)) == 1).all()
     node = lambda i: i.to_bytes(16, "big")
     members = spark.createDataFrame([(1, node(i)) for i in range(len(texts))], "key long, node binary")
     stored = spark.createDataFrame([(node(i), t) for i, t in enumerate(texts)], "node binary, text string")
@@ -181,6 +190,48 @@ def test_near_links_in_a_bucket(spark, rounds):
     assert {i: got.get(i, i) for i in range(len(texts))} == {i: top(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("n", [300, 1500])
+def test_near_recall_at_two_sizes(spark, tmp_path, n):
+    """Against all pairs: texts that share a passage, copies with few to many words changed, one large group that holds a third."""
+    rng, s = random.Random(n), near_dedup.Settings()
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    hot = [word() for _ in range(150)]
+    texts = []
+    while len(texts) < n:
+        if len(texts) % 3 == 0:
+            base = hot
+        elif rng.random() < 0.5 and texts:
+            base = rng.choice(texts).split()
+        else:
+            base = [word() for _ in range(rng.randint(5, 200))] + passage * (rng.random() < 0.3)
+        changed = list(base)
+        for _ in range(rng.randint(0, max(1, len(base) // 20))):
+            changed[rng.randrange(len(base))] = word()
+        texts.append(" ".join(changed))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.read.parquet(str(tmp_path / "d")), s).collect()}
+    links, classes = all_pairs(texts, s)
+    found = sum(got[i] == got[j] for i, j in links)
+    assert links and found >= 0.98 * len(links), (found, len(links))
+    # nothing is joined that all pairs leave apart
+    assert all(classes[i] == classes[c] for i, c in got.items())
+
+
+def test_frequencies_keep_rare_and_frequent_apart():
+    """Estimates of a table much smaller than the number of shingles, beside some that most documents have."""
+    rng, bits = np.random.default_rng(2), 14
+    rare, often = rng.integers(0, 1 << 63, 400_000, np.uint64), rng.integers(0, 1 << 63, 50, np.uint64)
+    counts, n = np.zeros(3 << bits), 100_000
+    np.add.at(counts, *near_dedup.counters(rare, bits))
+    at, sign = near_dedup.counters(often, bits)
+    np.add.at(counts, at, sign * 50_000.0)
+    table = near_dedup.Frequencies(counts, n, bits)
+    error = np.abs(table.documents(rare) - 1)
+    assert np.quantile(error, 0.99) < 20 and (np.abs(table.documents(often) - 50_000) < 50).all()
+    assert np.median(table.idf(rare)) > 1.85 and table.idf(often).max() < 1.07
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40) if i != 20] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 230), rng.randrange(200, 230)) for _ in range(25)]
