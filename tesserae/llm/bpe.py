@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,15 +103,17 @@ class MergeAutomaton:
             if r >= 0:  # an added token has no row
                 self.state[token] = rows.setdefault(in_row[cut[r] : cut[r + 1]].tobytes(), len(rows))
         self.states = len(rows)
-        self.borders = np.concatenate([np.frombuffer(k, np.int32).astype(np.int64) + i * span for k, i in rows.items()])
+        wide = np.int32 if self.states * span < 2**31 else np.int64
+        self.borders = np.concatenate([np.frombuffer(k, np.int32).astype(wide) + wide(i * span) for k, i in rows.items()])
+        self.place, self.state = self.place.astype(wide), self.state.astype(wide)
         del self.row_after, self.column_after, self.deleted
 
     def has_arc(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
         """Whether each state has an arc with the label; the arc leads to ``self.state[label]``."""
-        return np.searchsorted(self.borders, state.astype(np.int64) * self.span + self.place[label], "right") % 2 == 0
+        return np.searchsorted(self.borders, state * self.borders.dtype.type(self.span) + self.place[label], "right") & 1 == 0
 
     def has_one(self, state: int, label: int) -> bool:
-        return bisect_right(self.borders, state * self.span + int(self.place[label])) % 2 == 0
+        return bisect_right(self.borders, int(state) * self.span + int(self.place[label])) % 2 == 0
 
 
 class Suffixes:
@@ -168,6 +171,11 @@ class WordBpe:
         if model.get("type", "BPE") != "BPE" or other or spec.get("decoder"):
             raise ValueError(f"not supported in {path}: {other or 'a model other than BPE, or a decoder'}")
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.plain, self.lowers = _plain_split(spec)
+        if self.plain:  # held against the library on every pair of printable characters
+            pairs = [f"x{chr(a)}{chr(b)}y" for a in range(33, 127) for b in range(33, 127)]
+            if [self.plain.findall(x.lower() if self.lowers else x) for x in pairs] != [self.pre_split(x) for x in pairs]:
+                self.plain = None
         ids: dict[str, int] = model["vocab"]
         end: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -190,6 +198,12 @@ class WordBpe:
         for s, k in symbols.items():
             self.column[ord(s)] = k
         self.white = re.compile(f"[{WHITE}]+")
+        self.size = np.zeros(len(self.labels), np.int32)
+        for kind in (0, 1):
+            own = self.suffixes.length[kind] > 0
+            self.size[self.suffixes.token[kind][own]] = self.suffixes.length[kind][own]
+        self.id_strings = pa.array([str(i) for i in range(len(self.labels))])
+        self.label_strings = pa.array(self.labels)
 
     def pre_split(self, chunk: str) -> list[str]:
         """The words of a chunk without white space and special tokens, in symbols."""
@@ -197,70 +211,65 @@ class WordBpe:
             chunk = self.normalizer.normalize_str(chunk)
         return [w for w, _ in self.splitter.pre_tokenize_str(chunk)] if self.splitter is not None else [chunk]
 
-    def _columns(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols of each word as columns of the table; those that the vocabulary lacks give nothing."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-split words, one word after the other, and their number in each: the labels of the one path that reads it."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         c = self.column[np.minimum(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), len(self.column) - 1)]
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        if (c < 0).any():
-            ends = np.cumsum(np.append(0, c >= 0))[ends]
-            c = c[c >= 0]
-        return [c[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if words else []
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each pre-split word: the labels of the one path that reads it."""
-        symbols = self._columns(words)
-        out: list = [[] for _ in words]
-        order = sorted((i for i, s in enumerate(symbols) if 0 < len(s) <= LONG), key=lambda i: -len(symbols[i]))
-        if order:
-            for i, path in zip(order, self._run([symbols[i] for i in order]), strict=True):
-                out[i] = path
-        for i, s in enumerate(symbols):
-            if len(s) > LONG:
-                out[i] = self._run_one(s)
-        return out
-
-    def _run(self, words: list[np.ndarray]) -> list[list[int]]:
-        """words: the longest first. All take a step at a time."""
-        sizes = np.array([len(w) for w in words])
-        n, longest, x, auto = len(words), int(sizes[0]), self.suffixes, self.auto
-        flat, grid = np.concatenate(words), np.zeros((longest, n), np.int32)
-        grid[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(n), sizes)] = flat
+        if (c < 0).any():  # symbols that the vocabulary lacks give nothing
+            ends = np.cumsum(np.append(0, c >= 0))[np.cumsum(sizes)]
+            sizes, c = np.diff(ends, prepend=0), c[c >= 0]
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        order = order[(sizes[order] > 0) & (sizes[order] <= LONG)]
+        paths = [(i, np.array(self._run_one(c[starts[i] : starts[i] + sizes[i]]), np.int32)) for i in np.flatnonzero(sizes > LONG).tolist()]
+        counts = np.zeros(len(words), np.int64)
+        rounds = self._run(c, starts[order], sizes[order]) if len(order) else []
+        for k, _ in rounds:
+            counts[order[k]] += 1
+        for i, path in paths:
+            counts[i] = len(path)
+        at = np.cumsum(counts)
+        out = np.empty(int(at[-1]) if len(at) else 0, np.int32)
+        for i, path in paths:
+            out[at[i] - len(path) : at[i]] = path
+        for r, (k, token) in enumerate(rounds, 1):  # from the words' ends
+            out[at[order[k]] - r] = token
+        return out, counts
+
+    def _run(self, columns: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All words take a step at a time, the longest first. Returns the labels of their paths from the last one backwards: numbers of words, and a label of each."""
+        n, longest, x, auto = len(sizes), int(sizes[0]), self.suffixes, self.auto
         active = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")  # words of so many symbols
-        state, last, node = np.full((longest + 1, n), -1, np.int32), np.zeros((longest + 1, n), np.int32), np.zeros(n, np.int32)
+        state, last, node = np.full((longest + 1, n), -1, auto.state.dtype), np.zeros((longest + 1, n), np.int32), np.zeros(n, np.int32)
         state[0] = 0
         for i in range(longest):
-            node = x.step[node[: active[i]], grid[i, : active[i]]]
-            kind = np.where(sizes[: active[i]] == i + 1, self.final, 0)
-            open_, at = np.arange(active[i]), x.at[kind, node]
-            while True:
-                some = at >= 0
-                open_, at = open_[some], at[some]
-                if not len(open_):
-                    break
-                own = kind[open_]
-                token = x.token[own, at]
-                before = state[i + 1 - x.length[own, at], open_]
-                good = (before >= 0) & auto.has_arc(np.maximum(before, 0), token)
+            m = active[i]
+            node = x.step[node[:m], columns[starts[:m] + i]]
+            open_, ending = np.arange(m), sizes[:m] == i + 1
+            at = x.at[0, node] if not self.final else np.where(ending, x.at[1, node], x.at[0, node])
+            while len(open_):
+                kind = ending[open_] * self.final
+                token = x.token[kind, at]
+                begin = i + 1 - x.length[kind, at]
+                before = state[begin, open_]
+                good = begin == 0  # a token that is all of it: the start has every arc
+                check = np.flatnonzero(~good & (before >= 0))
+                good[check] = auto.has_arc(before[check], token[check])
                 state[i + 1, open_[good]], last[i + 1, open_[good]] = auto.state[token[good]], token[good]
-                open_, at = open_[~good], x.at[own[~good], x.fail[at[~good]]]
-                if len(at):  # the root is no token, so a look-up that comes to it ends
-                    at = np.where(at == 0, -1, at)
-        length = np.zeros(len(self.labels), np.int32)
-        for kind in (0, 1):
-            length[x.token[kind][x.length[kind] > 0]] = x.length[kind][x.length[kind] > 0]
-        paths: list[list[int]] = [[] for _ in words]
-        at, open_ = sizes.copy(), np.arange(n)
+                bad = ~good
+                open_, at = open_[bad], x.at[kind[bad], x.fail[at[bad]]]
+                more = at > 0  # the root is no token
+                open_, at = open_[more], at[more]
+        rounds, at, open_ = [], sizes.copy(), np.arange(n)
         while len(open_):
-            token = last[at, open_]
             if (state[at, open_] < 0).any():
                 raise ValueError("the vocabulary has no path for a word")
-            for k, t in zip(open_.tolist(), token.tolist(), strict=True):
-                paths[k].append(t)
-            at = at - length[token]
-            open_, at = open_[at > 0], at[at > 0]
-        for p in paths:
-            p.reverse()
-        return paths
+            token = last[at, open_]
+            rounds.append((open_, token))
+            at = at - self.size[token]
+            more = at > 0
+            open_, at = open_[more], at[more]
+        return rounds
 
     def _run_one(self, word: np.ndarray) -> list[int]:
         """A long word by itself: the same steps."""
@@ -286,50 +295,98 @@ class WordBpe:
             at -= int(size[at])
         return path[::-1]
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """(ids joined by a space, their number, labels joined by a space) of each run without white space."""
-        parts: list[list] = []  # of each chunk: words, and ids of special tokens
-        for chunk in chunks:
-            own, at = [], 0
-            if self.special_head.search(chunk):
-                for m in self.special_at.finditer(chunk):
-                    if m.start() > at:
-                        own += self.pre_split(chunk[at : m.start()])
-                    own.append(self.special[m[0]])
-                    at = m.end()
-            if at < len(chunk):
-                own += self.pre_split(chunk[at:] if at else chunk)
-            parts.append(own)
-        words = list({w: None for own in parts for w in own if isinstance(w, str)})
-        known = dict(zip(words, self.encode_words(words), strict=True))
-        out = []
-        for own in parts:
-            ids = [i for w in own for i in (known[w] if isinstance(w, str) else (w,))]
-            out.append((" ".join(map(str, ids)), len(ids), " ".join([self.labels[i] for i in ids])))
-        return out
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs without white space, one run after the other, and their number in each."""
+        plain, other = [], []
+        for i, chunk in enumerate(chunks):
+            (plain if self.plain and chunk.isascii() and chunk.isprintable() and not self.special_head.search(chunk) else other).append(i)
+        words: list = []
+        if plain:
+            joined = "\n".join([chunks[i] for i in plain])
+            words = self.plain.findall(joined.lower() if self.lowers else joined)
+            words.append("\n")
+        for i in other:
+            words += self._parts(chunks[i])
+            words.append("\n")
+        known = Codes()
+        known["\n"] = 0
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        ids, counts = self.encode_words([w if isinstance(w, str) else "" for w in known.new])
+        starts = np.append(0, np.cumsum(counts) - counts)
+        counts = np.append(0, counts)
+        if special := [(k, w) for k, w in enumerate(known.new, 1) if not isinstance(w, str)]:
+            at, number = zip(*special, strict=True)
+            starts[list(at)], counts[list(at)] = len(ids) + np.arange(len(at)), 1
+            ids = np.append(ids, np.array(number, np.int32))
+        end = codes == 0
+        out, per_word = gathered(ids, starts[codes], counts[codes]), counts[codes]
+        per_chunk = np.bincount(np.cumsum(end) - end, per_word, len(chunks)).astype(np.int64)
+        # chunks in the order that they came in
+        order = np.array(plain + other, np.int64)
+        at = np.empty(len(chunks), np.int64)
+        at[order] = np.cumsum(per_chunk) - per_chunk
+        n = np.empty(len(chunks), np.int64)
+        n[order] = per_chunk
+        return gathered(out, at, n), n
+
+    def _parts(self, chunk: str) -> list:
+        """Words, and ids of special tokens."""
+        own, at = [], 0
+        if self.special_head.search(chunk):
+            for m in self.special_at.finditer(chunk):
+                if m.start() > at:
+                    own += self.pre_split(chunk[at : m.start()])
+                own.append(self.special[m[0]])
+                at = m.end()
+        if at < len(chunk):
+            own += self.pre_split(chunk[at:] if at else chunk)
+        return own
 
     def split(self, text: str) -> list[str]:
         """Runs without white space."""
         return [c for c in self.white.split(text) if c] if NOT_WHITE.search(text) else text.split()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for joined, _, _ in self.encode_chunks(self.split(text)) for i in joined.split()]
+        return self.encode_chunks(self.split(text))[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, joined by a space as the file has no decoder; unknown ids give nothing."""
         return " ".join([self.labels[i] for i in ids if 0 <= i < len(self.labels) and self.labels[i]])
 
 
+def _plain_split(spec: dict) -> tuple[re.Pattern | None, bool]:
+    """How a chunk of printable ASCII is split, and whether it is lowered first, if the file's rules leave ASCII alone but for that; None if they do more.
+
+    The file's own pattern, with letters and numbers as ASCII has them; a line break is kept, to tell chunks apart.
+    """
+    steps = (n := spec.get("normalizer") or {}).get("normalizers", [n] if n else [])
+    known = all(x["type"] in ("NFC", "NFD", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"}) for x in steps)
+    parts = (p := spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    fits = p.get("type") == "Sequence" and [x["type"] for x in parts] == ["Split", "ByteLevel"] and "Regex" in parts[0]["pattern"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    if not (known and fits):
+        return None, False
+    pattern = parts[0]["pattern"]["Regex"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+    if re.search(r"\\p|\(\?", pattern):
+        return None, False
+    return re.compile(f"{pattern}|\n", re.ASCII), any(x["type"] == "Lowercase" for x in steps)
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ranges of values, one after the other."""
+    ends = np.cumsum(counts)
+    return values[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Codes(dict):
-    """A number for each chunk, in order of arrival; ``new`` has those not encoded yet."""
+    """A number for each key, in order of arrival; ``new`` has those that came since it was emptied."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[str] = []
+        self.new: list = []
 
-    def __missing__(self, chunk: str) -> int:
-        self.new.append(chunk)
-        code = self[chunk] = len(self)
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        code = self[key] = len(self)
         return code
 
 
@@ -342,9 +399,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes, self.held = Codes(), 0
-        self.ids: list[str] = []
-        self.counts: list[int] = []
-        self.labels: list[str] = []
+        self.ids = np.zeros(0, np.int32)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _windows(self, text: str) -> Iterator[str]:
         """The text, cut at blanks into pieces of about BLOCK characters, as chunks are whole."""
@@ -357,32 +413,34 @@ class Encoder:
             yield text[at:to] if at or to < len(text) else text
             at = to
 
-    def pieces(self, texts: Iterable[str]) -> Iterator[tuple[int, list[str], int, list[str]]]:
-        """Number of the text, then ids, their number and labels of some of it, in order; strings of a chunk's, none of them empty."""
+    def pieces(self, texts: Iterable[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of some texts (in order; a long text comes in several pieces), their ids, one text's after the other, and how many each has."""
         held, size = [], 0
         for row, text in enumerate(texts):
             for window in self._windows(text):
-                held.append((row, list(map(self.codes.__getitem__, self.bpe.split(window)))))
+                held.append((row, np.array(list(map(self.codes.__getitem__, self.bpe.split(window))), np.int64)))
                 size += len(window)
                 if size >= BLOCK:
-                    yield from self._looked_up(held)
+                    yield self._looked_up(held)
                     held, size = [], 0
-        yield from self._looked_up(held)
+        if held:
+            yield self._looked_up(held)
 
-    def _looked_up(self, held: list[tuple[int, list[int]]]) -> Iterator[tuple[int, list[str], int, list[str]]]:
+    def _looked_up(self, held: list[tuple[int, np.ndarray]]) -> tuple[list[int], np.ndarray, np.ndarray]:
         new, self.codes.new = self.codes.new, []
-        for chunk, (ids, n, labels) in zip(new, self.bpe.encode_chunks(new), strict=True):
-            self.ids.append(ids)
-            self.counts.append(n)
-            self.labels.append(labels)
-            # strings, the number, their places in dictionary and lists
-            self.held += 4 * len(chunk) + len(ids) + 4 * len(labels) + 400
-        for row, codes in held:
-            n = sum(map(self.counts.__getitem__, codes))
-            ids, labels = list(map(self.ids.__getitem__, codes)), list(map(self.labels.__getitem__, codes))
-            yield (row, ids, n, labels) if "" not in ids else (row, [x for x in ids if x], n, [x for x in labels if x])
+        if new:
+            ids, n = self.bpe.encode_chunks(new)
+            self.starts, self.counts = np.append(self.starts, len(self.ids) + np.cumsum(n) - n), np.append(self.counts, n)
+            self.ids = np.append(self.ids, ids)
+            # a string and a number and their place in the dictionary; ids; start and count
+            self.held += sum(map(len, new)) + 200 * len(new) + 4 * len(ids)
+        codes = np.concatenate([c for _, c in held])
+        n = self.counts[codes]
+        out = gathered(self.ids, self.starts[codes], n)
+        ends = np.cumsum(np.append(0, n))[np.cumsum([len(c) for _, c in held])]
         if self.held > self.remembered:
             self._forget()
+        return [row for row, _ in held], out, np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -405,27 +463,39 @@ def encode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -
     fields = ["doc_id long", "n_tokens long", "ids array<int>" if ids else "ids_sha256 string", "decoded string" if decoded else "decoded_sha256 string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer(path))
+        bpe = tokenizer(path)
+        encoder = Encoder(bpe)
         for batch in batches:
             size = batch.num_rows
-            counts, firsts = [0] * size, [[] if ids else hashlib.sha256() for _ in range(size)]
+            counts, firsts = np.zeros(size, np.int64), [[] if ids else hashlib.sha256() for _ in range(size)]
             seconds = [[] if decoded else hashlib.sha256() for _ in range(size)]
-            for row, own, k, labels in encoder.pieces(x.as_py() for x in batch.column(1)):
-                if not own:
-                    continue
-                blank = " " if counts[row] else ""
-                counts[row] += k
-                if ids:
-                    firsts[row] += [int(i) for x in own for i in x.split()]
-                else:
-                    firsts[row].update((blank + " ".join(own)).encode())
-                if decoded:
-                    seconds[row].append(" ".join(labels))
-                else:
-                    seconds[row].update((blank + " ".join(labels)).encode())
-            first = pa.array(firsts, pa.list_(pa.int32())) if ids else pa.array([x.hexdigest() for x in firsts], pa.string())
+            for rows, flat, n in encoder.pieces(x.as_py() for x in batch.column(1)):
+                offsets, tokens = pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, pa.int32())
+                joined = [None if ids and strings is bpe.id_strings else pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(tokens)), " ") for strings in (bpe.id_strings, bpe.label_strings)]
+                for k, (row, own) in enumerate(zip(rows, n.tolist(), strict=True)):
+                    if not own:
+                        continue
+                    again = counts[row] > 0
+                    counts[row] += own
+                    if ids:
+                        firsts[row].append(flat[offsets[k].as_py() :][:own])
+                    else:
+                        if again:
+                            firsts[row].update(b" ")
+                        firsts[row].update(joined[0][k].as_buffer())
+                    if decoded:
+                        seconds[row].append(joined[1][k].as_py())
+                    else:
+                        if again:
+                            seconds[row].update(b" ")
+                        seconds[row].update(joined[1][k].as_buffer())
+            if ids:
+                ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+                first = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([y for x in firsts for y in x] or [np.zeros(0, np.int32)]), pa.int32()))
+            else:
+                first = pa.array([x.hexdigest() for x in firsts], pa.string())
             second = pa.array([" ".join(x) if decoded else x.hexdigest() for x in seconds], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), first, second], names=[f.split(" ")[0] for f in fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), first, second], names=[f.split(" ")[0] for f in fields])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(arrow_map, run, ", ".join(fields))
 

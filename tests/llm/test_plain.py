@@ -62,9 +62,10 @@ def test_bpe_memory_of_chunks_is_bounded(library):
     texts = [" ".join("".join(rng.choice("abcdeé'.") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 400))) for _ in range(300)] + ["", "word " * 500_000]
     encoder = bpe.Encoder(bpe.tokenizer(PATH), remembered=100_000)
     got: list = [[] for _ in texts]
-    for i, ids, n, _ in encoder.pieces(texts):
-        got[i] += [int(x) for part in ids for x in part.split()]
-        assert encoder.held < 100_000 + 4000 * bpe.BLOCK
+    for rows, ids, n in encoder.pieces(texts):
+        for i, own in zip(rows, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            got[i] += own.tolist()
+        assert encoder.held < 100_000 + 400 * bpe.BLOCK
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
