@@ -1,4 +1,4 @@
-"""Command line: convert, formats, inspect, validate."""
+"""Command line: convert, simplify-seurat, formats, inspect, validate."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 
+from tesserae import api
+from tesserae.functions import hints
 from tesserae.model import CELL
 from tesserae.operators import check, compare, diagnose, transform
 from tesserae.sources import bundle, registry
@@ -76,6 +78,8 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--input-format"), c.add_argument("--output-format"), c.add_argument("--gene-id-column")
     c.add_argument("--normalize", action="store_true"), c.add_argument("--top-genes", type=int), c.add_argument("--keep-names", action="store_true")
     c.add_argument("--validate", action="store_true"), c.add_argument("--dry-run", action="store_true")
+    q = sub.add_parser("simplify-seurat")
+    q.add_argument("input"), q.add_argument("output")
     sub.add_parser("formats")
     i = sub.add_parser("inspect")
     i.add_argument("input"), i.add_argument("--input-format")
@@ -87,7 +91,15 @@ def main(argv: list[str] | None = None) -> int:
         for n in known.list():
             print(n, *known.get(n).extensions, known.get(n).description)
         return 0
-    return {"convert": convert, "inspect": inspect, "validate": validate}[a.command](a, known)
+    if a.command == "simplify-seurat":
+        simplified = api.simplify_seurat(_session(), a.input, a.output)
+        print(json.dumps({"cells": simplified.dims.n_cells, "genes": simplified.dims.n_genes}))
+        return 0
+    try:
+        return {"convert": convert, "inspect": inspect, "validate": validate}[a.command](a, known)
+    except (ValueError, KeyError, OSError, NotImplementedError) as e:
+        print(hints.explained(e), file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that names should not have; longest name in bytes.
-SPECIAL = " \t\n\r/\\:*?\"<>|()[]{}!@#$%^&+=;,'`~"
+SPECIAL = "/ ,;:\\|?*<>\"'`()[]{}@#$%^&=+~"
 LONGEST = 256
 _CLASS = "[" + re.escape(SPECIAL) + "]"
 

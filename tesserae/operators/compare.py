@@ -68,11 +68,29 @@ def matrix_accuracy(a: DataFrame, b: DataFrame, dims: Dims) -> DataFrame:
     )
 
 
-def meets(metrics: DataFrame, tolerance: float) -> DataFrame:
-    """The metrics with ``passed``: all gates at that tolerance."""
+def meets(metrics: DataFrame, tolerance: float, metadata: bool = True, categories: bool = True, embedding_error: float = 0.0) -> DataFrame:
+    """The metrics with ``passed``: all gates at that tolerance, those of metadata, categories and embeddings among them."""
     c = F.col
     gate = (c("pearson") > 0.99999) & (c("mre") < tolerance) & (c("max_error") < 100 * tolerance) & (c("sparsity_kept") > 0.999) & (c("mse") < tolerance**2) & (c("exact") > 0.999) & c("nnz_equal")
-    return metrics.withColumn("passed", gate)
+    return metrics.withColumn("passed", gate & F.lit(bool(metadata and categories and embedding_error < tolerance)))
+
+
+def stored_pearson(a: DataFrame, b: DataFrame, every: int = 1) -> DataFrame:
+    """n and pearson over the entries that either has, or every so manieth of them (by the sum of their indices): a sampled measure beside the exact one."""
+    p = paired(a.where((F.col(CELL) + F.col(GENE)) % every == 0), b.where((F.col(CELL) + F.col(GENE)) % every == 0))
+    n = F.count(F.lit(1)).cast("double")
+    return p.agg(F.count(F.lit(1)).alias("n"), _pearson(n).alias("pearson"))
+
+
+#: Least correlation of datasets that came by different formats.
+CROSS_FORMAT = 0.9999
+
+
+def cross_format(a: Dataset, b: Dataset, tolerance: float = 1e-7) -> Report:
+    """The comparison of all components, and the correlation of X over all cells and genes, which has to exceed 0.9999. Layouts don't matter, as X is long."""
+    found = compare(a, b, tolerance)
+    r = matrix_accuracy(a.x, b.x, a.dims).first()
+    return Report((*found.results, Result("correlation", r.pearson > CROSS_FORMAT, f"pearson {r.pearson:.6f}; sparsity {r.sparsity_a:.4f} and {r.sparsity_b:.4f}")))
 
 
 def label_agreement(labels: DataFrame, a: str, b: str) -> DataFrame:
@@ -165,6 +183,35 @@ def metadata_accuracy(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
     return {"missing": sorted(set(x) - set(y)), "extra": sorted(set(y) - set(x)), "retyped": sorted(c for c in set(x) & set(y) if x[c] != y[c])}
 
 
+def metadata_values(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
+    """column, kind (number or category), max_error, codes_differ for the columns of one type that both have, over rows that both have.
+
+    Of doubles and floats the largest difference of values that aren't null; of columns with category lists the rows whose places in
+    their own table's list differ, as a changed order of categories changes the codes.
+    """
+    from tesserae.sources.bundle import codes
+
+    x, y = dict(a.dtypes), dict(b.dtypes)
+    both = sorted(c for c in set(x) & set(y) - {index} if x[c] == y[c])
+    listed = [c for c in both if all("categories" in t.schema[c].metadata for t in (a, b))]
+    numbers = [c for c in both if x[c] in ("double", "float")]
+    if not listed and not numbers:
+        return a.sparkSession.createDataFrame([], "column string, kind string, max_error double, codes_differ long")
+
+    def side(t: DataFrame, name: str) -> DataFrame:
+        for c in listed:
+            t = codes(t, c)
+        return t.select(index, *[F.col(f"`{c}`").alias(f"{name}_{c}") for c in numbers], *[F.col(f"`{c}_code`").alias(f"{name}_{c}") for c in listed])
+
+    joined = side(a, "a").join(side(b, "b"), index)
+    sums = [F.coalesce(F.max(F.abs(F.col(f"`a_{c}`") - F.col(f"`b_{c}`"))).cast("double"), F.lit(0.0)).alias(f"n{i}") for i, c in enumerate(numbers)]
+    sums += [F.count_if(F.col(f"`a_{c}`") != F.col(f"`b_{c}`")).alias(f"c{i}") for i, c in enumerate(listed)]
+    none = F.lit(0).cast("long")
+    rows = [F.struct(F.lit(c).alias("column"), F.lit("number").alias("kind"), F.col(f"n{i}").alias("max_error"), none.alias("codes_differ")) for i, c in enumerate(numbers)]
+    rows += [F.struct(F.lit(c).alias("column"), F.lit("category").alias("kind"), F.lit(0.0).alias("max_error"), F.col(f"c{i}").alias("codes_differ")) for i, c in enumerate(listed)]
+    return joined.agg(*sums).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @dataclass(frozen=True)
 class Result:
     component: str
@@ -225,6 +272,18 @@ def compare(a: Dataset, b: Dataset, tolerance: float = 1e-7) -> Report:
 
 
 def full_accuracy(a: Dataset, b: Dataset, tolerance: float = 1e-7) -> DataFrame:
-    """Matrix metrics with their gate; passed is false as well if the extents differ."""
+    """Matrix metrics with what obs, var and embeddings add: metadata_match (columns and types), categories_match (codes), number_error, embedding_error.
+
+    passed: the gates of the matrix, and equal extents. ``strict``: all gates, those of metadata, categories and embeddings too.
+    """
     same = (a.dims.n_cells, a.dims.n_genes) == (b.dims.n_cells, b.dims.n_genes)
-    return meets(matrix_accuracy(a.x, b.x, a.dims), tolerance).withColumn("passed", F.col("passed") & F.lit(same))
+    columns = [metadata_accuracy(getattr(a, t), getattr(b, t)) for t in ("obs", "var")]
+    values = [r for t, i in (("obs", CELL), ("var", GENE)) for r in metadata_values(getattr(a, t), getattr(b, t), i).collect()]  # a row for each column
+    errors = [] if a.obsm is None or b.obsm is None else embeddings_accuracy(a.obsm, b.obsm).agg(F.max("max_error")).collect()
+    metadata = not any(v for c in columns for v in c.values())
+    categories = not any(r.codes_differ for r in values)
+    embedding = float(errors[0][0] or 0.0) if errors else 0.0
+    metrics = matrix_accuracy(a.x, b.x, a.dims)
+    strict = meets(metrics, tolerance, metadata, categories, embedding).withColumnRenamed("passed", "strict")
+    out = meets(strict, tolerance).withColumn("passed", F.col("passed") & F.lit(same)).withColumn("strict", F.col("strict") & F.lit(same))
+    return out.withColumns({"metadata_match": F.lit(metadata), "categories_match": F.lit(categories), "number_error": F.lit(max((r.max_error for r in values), default=0.0)), "embedding_error": F.lit(embedding)})

@@ -2,35 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae import folders
 from tesserae.model import CELL, GENE, Dataset
 
+#: Ranges that indices are numbered by, at most.
+RANGES = 256
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in the session's checkpoint folder; a temporary one is set only where it has none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
+    """``df`` without its lineage, in the session's checkpoint folder."""
+    folders.top(df.sparkSession)
     return df.checkpoint()
 
 
+def ordered_blocks(df: DataFrame, order: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows in order, block by block: sorted by ranges on executors, then taken a partition at a time, packed."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+    for row in df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(packed, "block binary").toLocalIterator(prefetchPartitions=True):
+        yield pa.ipc.open_stream(row["block"]).read_all()
+
+
+def _range(index: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many bounds are at or below the index, by halves."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(index < bounds[mid], _range(index, bounds[:mid], first)).otherwise(_range(index, bounds[mid + 1 :], first + mid + 1))
+
+
 def renumbered(kept: DataFrame, index: str) -> DataFrame:
     """index, new: kept indices in ascending order, numbered from 0.
 
     Numbered in two steps, range by range, so that no task holds all of them: counts of the ranges are summed
-    up first (a row for each range), and each row adds its place within its range.
+    up first (a row for each range), and each row adds its place within its range. Ranges hold about as many
+    indices each, however these are spread (bounds are approximate quantiles).
     """
     spark = kept.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lo, hi = kept.agg(F.min(index), F.max(index)).first()
-    if lo is None:
-        return kept.select(index, F.lit(0).cast("long").alias("new"))
-    width = (hi - lo) // n + 1
-    ranged = kept.select(index).distinct().withColumn("_range", F.floor((F.col(index) - lo) / width))
+    n = min(RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = kept.agg(F.percentile_approx(index, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    ranged = kept.select(index).distinct().withColumn("_range", _range(F.col(index), sorted(set(found or [])) if n > 1 else []))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(index)) - 1

@@ -1,12 +1,14 @@
 """Datasets in RDS files: Seurat (V3, V4, V5) and SingleCellExperiment objects.
 
 Files are read through Spark's binary source, so they may lie in any store it reaches, and are parsed
-on an executor, a file a task. A component that is not used is not built. R matrices are genes by cells; as long
+on an executor, a file a task, once. R matrices are genes by cells; as long
 tables only the names of the two indices change.
 """
 
 from __future__ import annotations
 
+import json
+import warnings
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,9 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
+from tesserae import folders
 from tesserae.model import CELL, GENE, INDEX, VALUE, Dataset, Dims
 from tesserae.operators import layers as split
 from tesserae.sources import rdata as r
@@ -29,6 +30,8 @@ TABLES = {
     "obsp": "name string, i long, j long, value double",
     "spatial": "cell_idx long, coords array<double>",
 }
+#: Arrow types by Spark type.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
 #: R vectors by kind as Spark types.
 COLUMN = {"integer": "int", "double": "double", "logical": "boolean", "character": "string"}
 
@@ -191,38 +194,54 @@ class Parts:
         return {"layers": self.matrix, "obsm": lambda: self.embeddings("obsm"), "varm": lambda: self.embeddings("varm"), "obsp": self.graphs, "spatial": self.spatial}[name]()
 
 
-def _component(files: DataFrame, schema: str, f) -> DataFrame:
-    kinds = to_arrow_schema(StructType.fromDDL(schema))
+BLOCK = 100_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                for pdf in f(Parts(r.loads(content.as_py()))):
-                    for at in range(0, len(pdf), 100_000):
-                        yield pa.RecordBatch.from_pandas(pdf.iloc[at : at + 100_000], schema=kinds, preserve_index=False)
 
-    return files.mapInArrow(run, schema)
+def _blocks(p: Parts) -> Iterator[tuple[str, bytes]]:
+    """Name and packed rows of every part, the header first."""
+    tables = {"obs": p.obs(), "var": p.var()}
+    fields = {k: [(c, _type(t[c])) for c in t.columns] for k, t in tables.items()}
+    head = p.head() | {k: ", ".join(f"`{c}` {kind}" for c, kind in f) for k, f in fields.items()}
+    yield "head", json.dumps(head).encode()
+    for name in (*tables, "layers", *(t for t in head["tables"] if t != "layers")):
+        kinds = pa.schema([(c, ARROW[kind]) for c, kind in fields.get(name) or [f.split(" ") for f in TABLES[name].split(", ")]])
+        for pdf in [tables[name]] if name in tables else p.table(name):
+            for at in range(0, len(pdf), BLOCK):
+                batch = pa.RecordBatch.from_pandas(pdf.iloc[at : at + BLOCK], schema=kinds, preserve_index=False)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, kinds) as stream:
+                    stream.write_batch(batch)
+                yield name, sink.getvalue().to_pybytes()
 
 
-def read(spark: SparkSession, path: str, keep_layers: bool = False) -> Dataset:
-    """The dataset of an RDS file. Split layers are merged under their prefix, or padded in place with ``keep_layers``."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for content in b.column(0):
+            for name, block in _blocks(Parts(r.loads(content.as_py()))):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.binary())], names=["part", "block"])
 
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
 
-        for b in batches:
-            for content in b.column(0):
-                p = Parts(r.loads(content.as_py()))
-                fields = lambda t: ", ".join(f"`{c}` {_type(t[c])}" for c in t.columns)
-                yield pa.RecordBatch.from_pydict({"head": [json.dumps(p.head() | {"obs": fields(p.obs()), "var": fields(p.var())})]})
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for block in b.column(0):
+            yield from pa.ipc.open_stream(block.as_buffer())
 
-    import json
 
-    info = json.loads(files.mapInArrow(head, "head string").first()[0])
+def read(spark: SparkSession, path: str, keep_layers: bool = False) -> Dataset:
+    """The dataset of an RDS file. Split layers are merged under their prefix, or padded in place with ``keep_layers``.
+
+    The file is parsed once, by one task, as it is one stream; its parts are written to the shared folder in blocks, and from there on
+    each is a table of its own that many tasks read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    parts = folders.new(spark, "parts")
+    files.mapInArrow(_parsed, "part string, block binary").write.partitionBy("part").parquet(parts)
+    blocks = spark.read.schema("block binary, part string").parquet(parts)
+    info = json.loads(bytes(blocks.where("part = 'head'").select("block").first()[0]))
+    component = lambda name, schema: blocks.where(F.col("part") == name).select("block").mapInArrow(_unpacked, schema)
     layer_dims = {k: tuple(v) for k, v in info["layer_dims"].items()}
-    tables = {t: _component(files, s, lambda p, t=t: p.table(t)) if t in info["tables"] or t == "layers" else None for t, s in TABLES.items()}
-    obs, var = (_component(files, info[t], lambda p, t=t: iter([getattr(p, t)()])) for t in ("obs", "var"))
+    tables = {t: component(t, s) if t in info["tables"] or t == "layers" else None for t, s in TABLES.items()}
+    obs, var = (component(t, info[t]) for t in ("obs", "var"))
     matrices, layer_dims = (split.pad if keep_layers else split.merge)(tables["layers"], layer_dims)
     order = ("counts", "logcounts") if info["kind"] == "sce" else ("counts", "data")
     main = split.main_layer(sorted(layer_dims), order)
@@ -231,6 +250,22 @@ def read(spark: SparkSession, path: str, keep_layers: bool = False) -> Dataset:
     return Dataset(matrices.where(F.col("layer") == main).drop("layer"), obs, var, dims, matrices.where(F.col("layer") != main) if rest else None, rest, tables["obsm"], tables["varm"], tables["obsp"], spatial=tables["spatial"])
 
 
+def detect(path: str) -> bool:
+    """Whether the file is R serialization, compressed by gzip or not."""
+    import gzip
+
+    from tesserae.sources.hdf5 import opener
+
+    try:
+        with opener(path) as f:
+            data = f.read(2)
+            f.seek(0)
+            data = gzip.GzipFile(fileobj=f).read(2) if data == b"\x1f\x8b" else data
+    except (OSError, EOFError):
+        return False
+    return data in (b"X\n", b"A\n", b"B\n")
+
+
 def _type(c: pd.Series) -> str:
     if c.name in (CELL, GENE):
         return "long"
@@ -273,9 +308,16 @@ def data_frame(t: pd.DataFrame, rows: list[str], kinds: dict[str, str]) -> r.Vec
 def write(ds: Dataset, path: str, kind: str = "seurat", most: int = 200_000_000) -> None:
     """One RDS file, written by the driver: a Seurat object (Assay5) or a SingleCellExperiment.
 
-    A single file of that kind is held in memory as a whole, so more than ``most`` entries are an error.
+    A single file of that kind is held in memory as a whole, so more than ``most`` entries (of X, layers, pairwise matrices and vectors) are an
+    error. A Seurat object has loadings (varm) of reductions it has, and one image's coordinates; what the kind has no
+    place for is named in a warning: layers of another extent than X, varp, and in a SingleCellExperiment obsp, varm and coordinates.
     """
-    n = ds.x.count() + (ds.layers.count() if ds.layers is not None else 0)
+    tables = [t for t in (ds.layers, ds.obsp, ds.varp) if t is not None]
+    vectors = [t.select(F.sum(F.size("vec"))) for t in (ds.obsm, ds.varm) if t is not None]
+    n = ds.x.count() + sum(t.count() for t in tables) + sum(int(t.first()[0] or 0) for t in vectors)
+    left_out = [f"layer {k}" for k, v in ds.layer_dims.items() if tuple(v) != (ds.dims.n_cells, ds.dims.n_genes)] + (["varp"] if ds.varp is not None else [])
+    if kind != "seurat":
+        left_out += [name for name in ("obsp", "varm", "spatial") if getattr(ds, name) is not None]
     if n > most:
         raise ValueError(f"{n} entries are more than one file may have ({most}); write a bundle")
     obs, var = ds.obs.orderBy(CELL).toPandas(), ds.var.orderBy(GENE).toPandas()
@@ -286,16 +328,25 @@ def write(ds: Dataset, path: str, kind: str = "seurat", most: int = 200_000_000)
         full = (ds.dims.n_cells, ds.dims.n_genes)
         matrices |= {k: dgc(m.drop(columns="layer"), cells, genes) for k, m in ds.layers.toPandas().groupby("layer") if ds.layer_dims.get(k) == full and k != "counts"}
     meta = data_frame(obs.drop(columns=[c for c in (CELL, INDEX) if c in obs]), cells, dict(ds.obs.dtypes))
-    vectors = {} if ds.obsm is None else {k: np.array(m.sort_values(CELL)["vec"].tolist()) for k, m in ds.obsm.toPandas().groupby("name")}
+    by_name = lambda t, index: {} if t is None else {k: np.array(m.sort_values(index)["vec"].tolist()) for k, m in t.toPandas().groupby("name")}
+    vectors, loadings = by_name(ds.obsm, CELL), by_name(ds.varm, GENE) if kind == "seurat" else {}
+    left_out += [f"varm {k}" for k in loadings if k not in vectors]
+    if left_out:
+        warnings.warn(f"{path} has no place for {', '.join(left_out)}", stacklevel=2)
     dense = lambda m, rows, label: r.doubles(m.T.ravel(), dim=r.ints(m.shape), dimnames=r.Vector("list", [r.strings(*rows), r.strings(*[f"{label}_{i + 1}" for i in range(m.shape[1])])]))
     of = lambda name, package="SeuratObject": r.strings(name, package=r.strings(package))
     if kind == "seurat":
         features = r.S4({".Data": r.Vector("logical", np.ones(len(genes), np.int32)), "dim": r.ints([len(genes), 1]), "dimnames": r.Vector("list", [r.strings(*genes), r.strings("counts")]), "class": of("LogMap")})
         assay = r.S4({"layers": r.named(matrices), "features": features, "default": r.ints([1]), "key": r.strings("rna_"), "class": of("Assay5")})
-        reductions = {k: r.S4({"cell.embeddings": dense(m, cells, k), "assay.used": r.strings("RNA"), "key": r.strings(f"{k}_"), "class": of("DimReduc")}) for k, m in vectors.items()}
+        reductions = {k: r.S4({"cell.embeddings": dense(m, cells, k), **({"feature.loadings": dense(loadings[k], genes, k)} if k in loadings else {}), "assay.used": r.strings("RNA"), "key": r.strings(f"{k}_"), "class": of("DimReduc")}) for k, m in vectors.items()}
         name = ds.dims.active_assay or "RNA"
         graphs = {} if ds.obsp is None else {k: dgc(m.rename(columns={"i": GENE, "j": CELL}), cells, cells) for k, m in ds.obsp.toPandas().groupby("name")}
-        out = r.S4({"assays": r.named({name: assay}), "meta.data": meta, "active.assay": r.strings(name), "graphs": r.named(graphs), "reductions": r.named(reductions), "images": r.Vector("list", []), "project.name": r.strings("dataset"), "version": r.Vector("list", [r.ints([5, 0, 0])]), "class": of("Seurat")})
+        images = r.Vector("list", [])
+        if ds.spatial is not None:
+            where = ds.spatial.orderBy(CELL).toPandas()["coords"].tolist()
+            places = pd.DataFrame(where).iloc[:, :2].set_axis(["row", "col"], axis=1)
+            images = r.named({"image": r.S4({"coordinates": data_frame(places, cells, {"row": "double", "col": "double"}), "class": of("SlideSeq", "Seurat")})})
+        out = r.S4({"assays": r.named({name: assay}), "meta.data": meta, "active.assay": r.strings(name), "graphs": r.named(graphs), "reductions": r.named(reductions), "images": images, "project.name": r.strings("dataset"), "version": r.Vector("list", [r.ints([5, 0, 0])]), "class": of("Seurat")})
     else:
         frame_of = lambda v, n: r.S4({"rownames": r.strings(*n), "nrows": r.ints([len(n)]), "listData": v, "class": of("DFrame", "S4Vectors")})
         plain = r.Vector("list", meta.values, {"names": meta.attrs["names"]})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from tesserae.sources import bundle, rds
+from tesserae.sources import bundle, h5ad, loom, rds
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,8 @@ class Registry:
 def default() -> Registry:
     out = Registry()
     out.register(Format("bundle", (".bundle", ".parquet"), bundle.read, bundle.write, description="folder of Parquet tables"))
-    out.register(Format("seurat", (".rds",), rds.read, lambda ds, path: rds.write(ds, path, "seurat"), description="Seurat object"))
+    out.register(Format("h5ad", (".h5ad", ".h5"), h5ad.read, h5ad.write, h5ad.detect, "annotated matrix in HDF5"))
+    out.register(Format("loom", (".loom",), loom.read, loom.write, loom.detect, "Loom file"))
+    out.register(Format("seurat", (".rds",), rds.read, lambda ds, path: rds.write(ds, path, "seurat"), rds.detect, "Seurat object"))
     out.register(Format("sce", (".sce.rds",), rds.read, lambda ds, path: rds.write(ds, path, "sce"), description="SingleCellExperiment object"))
     return out

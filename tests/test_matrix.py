@@ -238,7 +238,7 @@ def test_registry(tmp_path):
     r = registry.default()
     r.register(registry.Format("own", (".own",), detect=lambda p: p == "x"))
     assert r.detect("A.SCE.RDS").name == "sce" and r.detect("b.rds").name == "seurat" and r.detect("x").name == "own" and r.detect("y") is None
-    assert "bundle" in r and r.readable() == r.writable() == ["bundle", "sce", "seurat"] and r.list() == ["bundle", "own", "sce", "seurat"]
+    assert "bundle" in r and r.readable() == r.writable() == ["bundle", "h5ad", "loom", "sce", "seurat"] and r.list() == ["bundle", "h5ad", "loom", "own", "sce", "seurat"]
     with pytest.raises(KeyError):
         r.get("absent")
 
