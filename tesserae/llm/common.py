@@ -11,7 +11,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,26 +18,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae import folders
+
 #: Column names reserved for the operators' own use inside a plan.
 FILE, ROW = "_file", "_row"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share, ``spark.checkpoint.dir``.
-
-    Only a session on one machine (``local[...]``) that has none gets one below its warehouse; elsewhere that is an error, as no folder
-    of one machine will do.
-    """
-    sc = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not top:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
-        top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
-        sc.setCheckpointDir(top)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share (see ``tesserae.folders``); it goes when the session's process ends."""
+    return folders.new(spark, name)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
