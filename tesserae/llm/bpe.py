@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -133,31 +133,60 @@ class Suffixes:
                     children.append({})
                 node = to
             (final if ends else inner)[node] = (token, len(text))
-        n = len(children)
-        self.step = np.zeros((n, k), np.int32)
+        n, self.k = len(children), k
+        # arcs of the tree by (node, symbol), in order; what a node lacks is looked for at its longest proper suffix, up to the root, which has all
+        pairs = sorted((node * k + s, to) for node, own in enumerate(children) for s, to in own.items())
+        self.arcs, self.to = np.array([p for p, _ in pairs], np.int32 if n * k < 2**31 else np.int64), np.array([t for _, t in pairs], np.int32)
         fail, level = np.zeros(n, np.int32), [0]
         # the nearest suffix, itself included, that is a token (inner or final) and, for the look-up after that, the suffix to go on from
         self.at = np.full((2, n), -1, np.int32)
         while level:
             following = []
             for node in level:
-                f = fail[node]
-                if node:
-                    self.step[node] = self.step[f]
+                f = int(fail[node])
                 for kind, own in enumerate((inner, final)):
                     self.at[kind, node] = node if node in own else self.at[kind, f] if node else -1
                 for s, to in children[node].items():
-                    fail[to] = self.step[f, s] if node else 0
-                    self.step[node, s] = to
+                    back = f
+                    while node and back and s not in children[back]:
+                        back = int(fail[back])
+                    fail[to] = children[back].get(s, 0) if node else 0
                     following.append(to)
             level = following
         self.fail = fail
+        del children
         self.token, self.length = np.zeros((2, n), np.int32), np.zeros((2, n), np.int32)
         for kind, own in enumerate((inner, final)):
             for node, (token, length) in own.items():
                 self.token[kind, node], self.length[kind, node] = token, length
 
 
+    def step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after a symbol each."""
+        out = np.empty(len(node), np.int32)
+        open_ = np.arange(len(node))
+        while len(open_):
+            at = node * self.arcs.dtype.type(self.k) + symbol
+            found = np.minimum(np.searchsorted(self.arcs, at), len(self.arcs) - 1)
+            there = self.arcs[found] == at
+            out[open_[there]] = self.to[found[there]]
+            root = ~there & (node == 0)
+            out[open_[root]] = 0
+            more = ~there & ~root
+            open_, node, symbol = open_[more], self.fail[node[more]], symbol[more]
+        return out
+
+    def step_one(self, node: int, symbol: int) -> int:
+        while True:
+            at = node * self.k + symbol
+            found = bisect_left(self.arcs, at)
+            if found < len(self.arcs) and self.arcs[found] == at:
+                return int(self.to[found])
+            if not node:
+                return 0
+            node = int(self.fail[node])
+
+
 class WordBpe:
     """A tokenizer file (BPE, with or without word ends) as an automaton."""
 
@@ -244,7 +273,7 @@ class WordBpe:
         state[0] = 0
         for i in range(longest):
             m = active[i]
-            node = x.step[node[:m], columns[starts[:m] + i]]
+            node = x.step(node[:m], columns[starts[:m] + i])
             open_, ending = np.arange(m), sizes[:m] == i + 1
             at = x.at[0, node] if not self.final else np.where(ending, x.at[1, node], x.at[0, node])
             while len(open_):
@@ -277,7 +306,7 @@ class WordBpe:
         state, last, size = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
         state[0], node = 0, 0
         for i, column in enumerate(word.tolist(), 1):
-            node = int(x.step[node, column])
+            node = x.step_one(node, column)
             kind = self.final if i == n else 0
             at = int(x.at[kind, node])
             while at > 0:
