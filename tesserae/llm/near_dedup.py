@@ -221,7 +221,7 @@ def _compared(table, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
 
-        def weighted(node: bytes, text: str):
+        def weighted(node: int, text: str):
             if node not in known:
                 if len(known) > 64:
                     known.clear()
@@ -265,7 +265,7 @@ def similar_between(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.nda
     return np.argwhere((shared >= least * either) & (either > 0))
 
 
-BLOCK = "array<struct<node: binary, label: binary, text: string>>"
+BLOCK = "array<struct<node: bigint, label: bigint, text: string>>"
 
 
 def _between_blocks(table, s: Settings):
@@ -273,13 +273,13 @@ def _between_blocks(table, s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[bytes, bytes]] = []
+            links: list[tuple[int, int]] = []
             for q, m in zip(batch.column(0), batch.column(1), strict=True):
                 q, m = q.as_py(), m.as_py()
                 made = {r["node"]: _elements(r["text"], table.value, s) for r in q + m}
-                top: dict[bytes, bytes] = {}
+                top: dict[int, int] = {}
 
-                def root(x: bytes) -> bytes:
+                def root(x: int) -> int:
                     while top.setdefault(x, x) != x:
                         top[x] = x = top[top[x]]
                     return x
@@ -289,7 +289,7 @@ def _between_blocks(table, s: Settings):
                     if x != y:
                         top[y] = x
                         links.append((q[i]["node"], m[j]["node"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -336,14 +336,14 @@ class Links:
 
 def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s: Settings) -> Links:
     """members: key, node of every bucket of two nodes or more."""
-    links = spark.createDataFrame([], "a binary, b binary")
-    labels, all_tested = spark.createDataFrame([], "node binary, label binary"), links
+    links = spark.createDataFrame([], "a long, b long")
+    labels, all_tested = spark.createDataFrame([], "node long, label long"), links
     known = texts.withColumn("size", F.length("text"))
 
     def compare(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct().join(all_tested, ["a", "b"], "left_anti")
         left = pairs.join(texts.toDF("a", "text_a"), "a")
-        return stored(left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").transform(arrow_map, _compared(table, s), "a binary, b binary, sim double"), "near-tested")
+        return stored(left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").transform(arrow_map, _compared(table, s), "a long, b long, sim double"), "near-tested")
 
     def joined(new: DataFrame) -> DataFrame:
         return components(labels.toDF("a", "b").union(new.select("a", "b"))).checkpoint()
@@ -383,7 +383,7 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
     # numbers first, so that a bucket of many blocks is spread by block before any text is attached
     both = q.select("key", "q").join(every.select("key", "e"), "key")
     both = both.join(every, ["key", "e"]).join(q, ["key", "q"]).select(F.col("q_rows").cast(BLOCK), F.col("e_rows").cast(BLOCK))
-    new = stored(both.transform(arrow_map, _between_blocks(table, s), "a binary, b binary"), "near-rest")
+    new = stored(both.transform(arrow_map, _between_blocks(table, s), "a long, b long"), "near-rest")
     if not new.isEmpty():
         links, labels = links.union(new), joined(new)
     return Links(links, labels)
@@ -404,14 +404,15 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa:
     rows = located(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), FILE, ROW, text_of().alias("text"))
     table = spark.sparkContext.broadcast(frequencies(rows.select("text"), s))
     signed = stored(rows.transform(arrow_map, _signed(table, s), "doc_id long, _file long, _row long, node binary, bands array<long>"), "near-signed")
-    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(identifier()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "near-nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(identifier()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "near-nodes")
+    # from here on nodes go by the numbers that were written with them: short keys, and aggregates that need no sort
+    keyed = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key").checkpoint()
     members = stored(keyed.join(shared, "key"), "near-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("first.file").alias(FILE), F.col("first.row").alias(ROW)), "node")
+    wanted = members.select("node").distinct().join(nodes.select(F.col("id").alias("node"), F.col("first.file").alias(FILE), F.col("first.row").alias(ROW)), "node")
     texts = stored(rows.select(FILE, ROW, "text").join(wanted, [FILE, ROW]).select("node", "text"), "near-texts")
     labels = _linked(spark, members, texts, table, s).labels
-    labelled = nodes.select("node", "first", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = nodes.select("node", "id", "first", "n").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     classes = labelled.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     by_node = labelled.select("node", "label").join(classes, "label").select("node", "first", "class_size")
     of = signed.drop("bands").join(by_node, "node", "left")

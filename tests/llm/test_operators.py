@@ -170,11 +170,10 @@ def test_near_links_in_a_bucket(spark, rounds):
     rng.shuffle(texts)
     table = near_dedup.Frequencies(np.zeros(3 << 8, np.float32), 1, 8)  # every weight is 1
     assert (table.idf(np.arange(9, dtype=np.uint64)) == 1).all()
-    node = lambda i: i.to_bytes(16, "big")
-    members = spark.createDataFrame([(1, node(i)) for i in range(len(texts))], "key long, node binary")
-    stored = spark.createDataFrame([(node(i), t) for i, t in enumerate(texts)], "node binary, text string")
+    members = spark.createDataFrame([(1, i) for i in range(len(texts))], "key long, node long")
+    stored = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     found = near_dedup._linked(spark, members, stored, spark.sparkContext.broadcast(table), s)
-    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.label, "big") for r in found.labels.collect()}
+    got = {r.node: r.label for r in found.labels.collect()}
     w = [(h, n.astype(float)) for h, n in (near_dedup.shingles(t, 5) for t in texts)]
     parent = list(range(len(texts)))
 
