@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters that names should not have; longest name in bytes.
@@ -40,3 +40,23 @@ def without_repeats(names: list[str]) -> list[str]:
         seen[n] = seen.get(n, 0) + 1
         out.append(n if seen[n] == 1 else f"{n}_dup{seen[n]}")
     return out
+
+
+def truncated_column(c: Column, most: int = LONGEST) -> Column:
+    """``truncated`` for values: cut bytes, without the bytes of a character that would be cut."""
+    data = F.encode(c, "UTF-8")
+    # a byte of the form 10xxxxxx goes on with a character: the cut moves back to the first byte before it that doesn't
+    goes_on = lambda k: (F.conv(F.hex(F.substring(data, k, 1)), 16, 10).cast("int") >= 128) & (F.conv(F.hex(F.substring(data, k, 1)), 16, 10).cast("int") < 192)
+    end = F.lit(most)
+    for back in (3, 2, 1):
+        inside = goes_on(most + 1)
+        for k in range(back - 1):
+            inside = inside & goes_on(most - k)
+        end = F.when(inside & ~goes_on(most + 1 - back), F.lit(most - back)).otherwise(end)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substr(data, F.lit(1), end), "UTF-8"))
+
+
+def without_repeats_column(t: DataFrame, name: str, order: str) -> DataFrame:
+    """``without_repeats`` for the values of a column, in the order of another."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    return t.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_dup"), F.col("_n")))).drop("_n")

@@ -645,8 +645,8 @@ class Writer:
         self._link(path, at)
         return Reference(at)
 
-    def compound(self, path: str, columns: dict[str, np.ndarray], **attrs) -> Reference:
-        """Rows with fields, as old files keep tables."""
+    def rows(self, columns: dict[str, np.ndarray]) -> tuple[bytes, np.ndarray]:
+        """Datatype and stored form of rows with fields."""
         made = {k: self._encoded(np.asarray(v, object) if np.asarray(v).dtype.kind in "OU" else np.asarray(v)) for k, v in columns.items()}
         places, size = {}, 0
         for k, (_, v) in made.items():
@@ -657,11 +657,17 @@ class Writer:
             dims = [*v.shape[1:], 0, 0, 0, 0][:4]
             kind += _named(k) + struct.pack("<IB3xI4x4I", places[k], v.ndim - 1, 0, *dims) + t
         n = len(next(iter(made.values()))[1])
-        rows = np.zeros((n, size), np.uint8)
+        out = np.zeros((n, size), np.uint8)
         for k, (_, v) in made.items():
             raw = np.ascontiguousarray(v).view(np.uint8).reshape(n, -1)
-            rows[:, places[k] : places[k] + raw.shape[1]] = raw
-        return self._finish(path, kind, (n,), struct.pack("<BBQQ", 3, 1, self._put(rows.tobytes()) if n else UNDEFINED, n * size), None, attrs)
+            out[:, places[k] : places[k] + raw.shape[1]] = raw
+        return kind, out.reshape(-1).view(f"V{size}")
+
+    def compound(self, path: str, columns: dict[str, np.ndarray], **attrs) -> Reference:
+        """Rows with fields, as old files keep tables."""
+        kind, rows = self.rows(columns)
+        layout = struct.pack("<BBQQ", 3, 1, self._put(rows.tobytes()) if len(rows) else UNDEFINED, rows.nbytes)
+        return self._finish(path, kind, (len(rows),), layout, None, attrs)
 
     def appender(self, path: str, dtype, row: tuple[int, ...] = (), chunk: int | None = None, level: int = 4) -> Appender:
         return Appender(self, path, np.dtype(dtype), row, chunk or max(1, (1 << 18) // max(1, int(np.prod(row, dtype=np.int64)) * 8)), level)
@@ -737,6 +743,13 @@ class Appender:
         self.writer, self.path, self.dtype, self.row, self.chunk, self.level = writer, path, dtype, row, chunk, level
         self.n, self.entries, self._kept = 0, [], np.zeros((0, *row), dtype)
 
+    def append_fields(self, columns: dict[str, np.ndarray]) -> None:
+        """Rows with fields."""
+        self.kind, rows = self.writer.rows(columns)
+        if self.dtype != rows.dtype:
+            self.dtype, self._kept = rows.dtype, np.zeros(0, rows.dtype)
+        self.append(rows)
+
     def append(self, rows: np.ndarray) -> None:
         rows = np.asarray(rows, self.dtype).reshape(-1, *self.row)
         self.n += len(rows)
@@ -747,8 +760,11 @@ class Appender:
         self._kept = self._kept.copy()
 
     def _write(self, rows: np.ndarray) -> None:
-        kind, stored = self.writer._encoded(rows)
-        self.kind, self.item = kind, stored.dtype.itemsize
+        if rows.dtype.kind == "V":
+            stored = rows
+        else:
+            self.kind, stored = self.writer._encoded(rows)
+        self.item = stored.dtype.itemsize
         data = zlib.compress(np.ascontiguousarray(stored).tobytes(), self.level)
         start = len(self.entries) * self.chunk
         self.entries.append(((start, *(0 for _ in self.row)), self.writer._put(data), len(data)))
@@ -756,8 +772,9 @@ class Appender:
     def close(self, **attrs) -> Reference:
         n = len(self._kept)
         if n:
-            full = np.empty((self.chunk, *self.row), self.dtype)
-            full[...] = None if self.dtype.kind == "O" else 0
+            full = np.zeros((self.chunk, *self.row), self.dtype)
+            if self.dtype.kind == "O":
+                full[...] = None
             full[:n] = self._kept
             self._write(full)
         if not self.entries:

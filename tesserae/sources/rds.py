@@ -234,8 +234,17 @@ def read(spark: SparkSession, path: str, keep_layers: bool = False) -> Dataset:
     each is a table of its own that many tasks read.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    parts = folders.new(spark, "parts")
-    files.mapInArrow(_parsed, "part string, block binary").write.partitionBy("part").parquet(parts)
+    return _dataset(files.mapInArrow(_parsed, "part string, block binary"), keep_layers)
+
+
+def from_object(spark: SparkSession, x: Any, keep_layers: bool = False) -> Dataset:
+    """The dataset of an R object that is in memory as ``rdata`` has it."""
+    return _dataset(spark.createDataFrame(list(_blocks(Parts(x))), "part string, block binary"), keep_layers)
+
+
+def _dataset(parsed: DataFrame, keep_layers: bool) -> Dataset:
+    spark, parts = parsed.sparkSession, folders.new(parsed.sparkSession, "parts")
+    parsed.write.partitionBy("part").parquet(parts)
     blocks = spark.read.schema("block binary, part string").parquet(parts)
     info = json.loads(bytes(blocks.where("part = 'head'").select("block").first()[0]))
     component = lambda name, schema: blocks.where(F.col("part") == name).select("block").mapInArrow(_unpacked, schema)
@@ -305,10 +314,10 @@ def data_frame(t: pd.DataFrame, rows: list[str], kinds: dict[str, str]) -> r.Vec
     return out
 
 
-def write(ds: Dataset, path: str, kind: str = "seurat", most: int = 200_000_000) -> None:
-    """One RDS file, written by the driver: a Seurat object (Assay5) or a SingleCellExperiment.
+def to_object(ds: Dataset, kind: str = "seurat", most: int = 200_000_000) -> r.S4:
+    """A Seurat object (Assay5) or a SingleCellExperiment in memory, as ``rdata`` has it.
 
-    A single file of that kind is held in memory as a whole, so more than ``most`` entries (of X, layers, pairwise matrices and vectors) are an
+    An object of that kind is held as a whole, so more than ``most`` entries (of X, layers, pairwise matrices and vectors) are an
     error. A Seurat object has loadings (varm) of reductions it has, and one image's coordinates; what the kind has no
     place for is named in a warning: layers of another extent than X, varp, and in a SingleCellExperiment obsp, varm and coordinates.
     """
@@ -332,7 +341,7 @@ def write(ds: Dataset, path: str, kind: str = "seurat", most: int = 200_000_000)
     vectors, loadings = by_name(ds.obsm, CELL), by_name(ds.varm, GENE) if kind == "seurat" else {}
     left_out += [f"varm {k}" for k in loadings if k not in vectors]
     if left_out:
-        warnings.warn(f"{path} has no place for {', '.join(left_out)}", stacklevel=2)
+        warnings.warn(f"a {kind} object has no place for {', '.join(left_out)}", stacklevel=2)
     dense = lambda m, rows, label: r.doubles(m.T.ravel(), dim=r.ints(m.shape), dimnames=r.Vector("list", [r.strings(*rows), r.strings(*[f"{label}_{i + 1}" for i in range(m.shape[1])])]))
     of = lambda name, package="SeuratObject": r.strings(name, package=r.strings(package))
     if kind == "seurat":
@@ -353,5 +362,11 @@ def write(ds: Dataset, path: str, kind: str = "seurat", most: int = 200_000_000)
         reduced = frame_of(r.named({k: dense(m, cells, k) for k, m in vectors.items()}), cells)
         assays = r.S4({"data": r.S4({"listData": r.named(matrices), "class": of("SimpleList", "S4Vectors")}), "class": of("SimpleAssays", "SummarizedExperiment")})
         out = r.S4({"int_colData": frame_of(r.named({"reducedDims": reduced}), cells), "assays": assays, "colData": frame_of(plain, cells), "NAMES": r.strings(*genes), "class": of("SingleCellExperiment", "SingleCellExperiment")})
-    with open(path, "wb") as f:
-        f.write(r.dumps(out))
+    return out
+
+
+def write(ds: Dataset, path: str, kind: str = "seurat", most: int = 200_000_000) -> None:
+    """One RDS file of ``to_object``, written by the driver."""
+    data = r.dumps(to_object(ds, kind, most))
+    with open("/" + path[5:].lstrip("/") if path.startswith("file:") else path, "wb") as f:
+        f.write(data)
