@@ -287,11 +287,30 @@ def test_license_versions_of_the_gpl(version):
     This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
     MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
     tail = "You should have received a copy of the GNU General Public License along with this program."
-    assert set(names_of(f"{head} {tail}")) == {f"GPL-{version}.0"} and len(names_of(f"{head} {tail}")) == 2
+    (whole,) = licenses.scan(f"{head} {tail}", licenses.Settings())  # one finding, from the first word to the last
+    assert whole["license"] == f"GPL-{version}.0" and whole["end"] - whole["start"] == len(f"{head} {tail}") - 1
+    assert {*whole["put_in"], *whole["left_out"]} == set() and names_of(f"{head} {tail}".replace("GNU General", "GNU Affero General")) == []
     assert names_of(head.replace("either ", "")) == [f"GPL-{version}.0"]
     assert names_of(tail) == ["GPL"]
 
 
+def test_license_texts_and_their_differences():
+    """Texts of licenses, whole and reworded, are found as one, and the words that differ are told."""
+    s = licenses.Settings()
+    for t in s.templates:
+        if t.text:
+            (found,) = licenses.scan(f"Copyright 2020 someone.\n\n{t.text}\n", s)
+            assert found["license"] == t.license and found["differs"] == 0 and found["put_in"] == found["left_out"] == [], t.license
+            assert found["saving"] > 60
+    changed = licenses.MIT.replace("free of charge", "at no cost").replace("sublicense, ", "").replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME")
+    (found,) = licenses.scan(changed, s)
+    assert found["license"] == "MIT" and found["put_in"] == ["at", "no", "cost", "acme"] and found["left_out"] == ["free", "of", "charge", "sublicense", "the", "authors", "or", "copyright", "holders"]
+    assert found["differs"] == pytest.approx(13 / (2 * len(licenses.words(licenses.MIT)) - 5), abs=1e-6)
+    assert [f["license"] for f in licenses.scan(f"{licenses.MIT}\n{'word ' * 900}\n{licenses.APACHE}", s)] == ["MIT", "Apache-2.0"]
+    assert names_of("licensed under the Apache License 2.0") == ["Apache-2.0"] and names_of("License: MIT") == ["MIT"] and names_of("this is GPLv3 code") == ["GPL-3.0"]
+    assert names_of("The warranty is as is, and no license is granted. " * 5) == []
+
+
 def test_secret_scan():
     forest = secrets.train(secrets.Settings(findings=1500, trees=20))
     rows = secrets.labelled_findings(400, 77)
