@@ -34,8 +34,8 @@ FORMATS = {
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assigned": r"(?i:\b[\w-]{0,32}(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?)(?P<value>[^\s\"'<>,;]{8,}+)",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=]|\s|\\[nr])*+-----END [A-Z ]*PRIVATE KEY-----)?",
+    "assigned": r"(?i:\b[\w-]{0,32}(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}(?::=|=>|is:|[:=])\s{0,3}[\"']?)(?P<value>[^\s\"'<>,;]{8,}+)",
     "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+",
 }
 NAMED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items() if k != "mixed"))
@@ -51,14 +51,17 @@ SECRET_WORDS = frozenset("token secret password passwd pwd key apikey api auth a
 HARMLESS_WORDS = frozenset("commit sha sha1 sha256 md5 hash checksum digest uuid guid id example sample test dummy placeholder image data src href url path version revision etag integrity session trace build blob tree parent".split())
 HARMLESS_SOURCE = re.compile(r"test|example|fixture|sample|doc|mock|demo", re.I)
 WORD = re.compile(r"[A-Za-z]+\d*")
-FEATURES = ("length", "entropy", "distinct", "digits", "capitals", "signs", "class_changes", "letter_surprise", "vowels", "longest_run", "hex", "dictionary", "in_path", "slashes", "dots_near", "source_harmless", "secret_before", "secret_near", "harmless_before", "harmless_near", "assigned", "quoted", "known_format")
+#: What expressions of a program look like: names joined by dots, calls, subscripts, variables.
+CODE = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*[(\[]|[A-Za-z_]\w*\.[A-Za-z_]\w*|\$\{|\$\(|\{\{|<[a-z]|%\(")
+UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
+FEATURES = ("length", "entropy", "distinct", "digits", "capitals", "signs", "class_changes", "letter_surprise", "vowels", "longest_run", "hex", "dictionary", "in_path", "slashes", "dots_near", "source_harmless", "secret_before", "secret_near", "harmless_before", "harmless_near", "assigned", "quoted", "known_format", "code", "uuid")
 
 
 @dataclass(frozen=True)
 class Settings:
     """findings: labelled findings that the forest is grown from. near: characters on either side that count as neighbourhood."""
 
-    findings: int = 4000
+    findings: int = 6000
     trees: int = 40
     depth: int = 9
     least_rows: int = 4
@@ -123,6 +126,8 @@ def features(value: str, kind: str, before: str, after: str, source: str) -> lis
         float(kind == "assigned" or bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(glued in "\"'`"),
         float(kind not in ("assigned", "mixed")),
+        float(kind in ("assigned", "mixed") and bool(CODE.match(value + after[:1]))),
+        float(bool(UUID.fullmatch(value))),
     ]
 
 
@@ -164,14 +169,18 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, str, str,
         good = i % 2 == 0
         source = r.choice(["src/app", "config", "web", "forum", "lib"] if good or r.random() < 0.7 else ["tests/data", "examples", "docs"])
         if good:
-            value = r.choice([lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(b62, r.randint(20, 64)), lambda: pick(b64, r.randint(24, 60)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(b62, 36), lambda: "sk_live_" + pick(b62, 24), lambda: "xoxb-" + pick(b62, 24), lambda: "AIza" + pick(b62, 35), lambda: pick(b62 + "!#$%&*", r.randint(10, 20)), lambda: f"eyJ{pick(b62, 20)}.{pick(b62, 30)}.{pick(b62, 30)}"])()
+            value = r.choice([lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(b62, r.randint(20, 64)), lambda: pick(b64, r.randint(24, 60)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(b62, 36), lambda: "sk_live_" + pick(b62, 24), lambda: "xoxb-" + pick(b62, 24), lambda: f"xox{r.choice('abp')}-{pick(string.digits, 12)}-{pick(string.digits, 12)}-{pick(b62, 24)}", lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: "key-" + pick(string.ascii_lowercase + string.digits, 32), lambda: "AIza" + pick(b62, 35), lambda: pick(b62 + "!#$%&*", r.randint(10, 20)), lambda: f"eyJ{pick(b62, 20)}.{pick(b62, 30)}.{pick(b62, 30)}"])()
             word = r.choice(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_key", "TOKEN", "Secret", "client_secret", "pwd", "API_KEY", "credential", "bearer token"])
-            line = r.choice([f'{word} = "{value}"', f"{word}={value}", f"{word}: {value}", f"'{word}': '{value}'", f"my {word} is: {value}"])
+            if value.startswith(("AKIA", "ghp_", "sk_", "xox", "AIza", "eyJ")) and r.random() < 0.5:  # formats that are known give themselves away beside any word
+                word = r.choice(["SLACK", "google", "aws", "stripe", "HOOK", "value", "use", "bot"])
+            line = r.choice([f'{word} = "{value}"', f"{word}={value}", f"{word}: {value}", f"'{word}': '{value}'", f"my {word} is: {value}", f"Authorization: Bearer {value}", f"auth header bearer {value}"])
         else:
-            made = r.choice(["commit", "md5", "uuid", "path", "name", "placeholder", "image", "number", "word", "variable"])
+            made = r.choice(["commit", "md5", "uuid", "path", "name", "code", "placeholder", "image", "number", "word", "variable"])
             if made in ("commit", "md5"):
-                value = pick(hexa, 40 if made == "commit" else r.choice([32, 64]))
-                line = r.choice([f"commit {value}", f"sha256: {value}", f"md5 checksum {value}", f"revision {value}", f'integrity="{value}"', f"git hash {value} parent", f"etag: {value}"])
+                value = pick(hexa, 40 if made == "commit" else r.choice([32, 56, 64, 96, 128]))
+                if made == "md5" and r.random() < 0.3:
+                    value = r.choice(["sha256-", "sha384-", "sha512-"]) + pick(b64, r.choice([43, 64, 86]))
+                line = r.choice([f"sha512: {value}", f"sha1 {value}", f'script integrity="{value}"', f"commit {value}", f"sha256: {value}", f"md5 checksum {value}", f"revision {value}", f'integrity="{value}"', f"git hash {value} parent", f"etag: {value}"])
             elif made == "uuid":
                 value = "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
                 line = r.choice([f"id: {value}", f"uuid={value}", f"trace {value}", f"session id {value}"])
@@ -181,8 +190,13 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, str, str,
             elif made == "name":
                 value = "_".join(r.choice(DICTIONARY) for _ in range(r.randint(3, 5))) + str(r.randint(0, 9))
                 line = r.choice([f"call {value} now", f"{value}(", f"token = {value}", f"secret: {value}"])
+            elif made == "code":
+                a, b, c = (r.choice(DICTIONARY) for _ in range(3))
+                value = r.choice([f"{a}.{b}['{c.upper()}_{b.upper()}{r.randint(1, 9)}']", f'{a}.{b}["{c}{r.randint(1, 9)}"]', f"{a[:2]}.{b}['{c.upper()}']", f"{a}.get_{b}{r.randint(1, 9)}({c})", f"{a}.{b}.{c}_{r.randint(1, 99)}", f"${{{a.upper()}_{b.upper()}_{c.upper()}_{r.randint(1, 9)}}}", f"{{{{{a}_{b}_{c}{r.randint(1, 9)}}}}}", f"{a}{b.title()}({c}_{r.randint(10, 99)})"])
+                line = r.choice([f"token = {value}", f"secret := {value}", f"password={value}", f"api_key: {value}", f"credentials = {value}"])
+                value = re.split(r"[\s\"'<>,;]", value)[0]
             elif made == "placeholder":
-                value = r.choice(["your_token_here_123", "xxxxxxxxxxxxxxxxxxxx1", "changeme12345678", "example_password_1", "EXAMPLEKEY" + "0" * 12, "<insert-token-0000>", "password12345678", "${SECRET_TOKEN_1}", "00000000000000000000a", "1234567890abcdefghij"]) + pick("0x", r.randint(0, 3))
+                value = r.choice(["YOUR_API_KEY_HERE_1234", "YOUR_TOKEN_GOES_HERE_1", "INSERT_SECRET_HERE_00", "MY_PASSWORD_VALUE_1", "REPLACE_WITH_KEY_2", "<your-secret-here-1>", "your_token_here_123", "xxxxxxxxxxxxxxxxxxxx1", "changeme12345678", "example_password_1", "EXAMPLEKEY" + "0" * 12, "<insert-token-0000>", "password12345678", "${SECRET_TOKEN_1}", "00000000000000000000a", "1234567890abcdefghij"]) + pick("0x", r.randint(0, 3))
                 line = r.choice([f'token = "{value}"', f"password: {value}", f"example {value}", f"api_key={value}"])
             elif made == "image":
                 value = "iVBORw0KGgo" + pick(b64, r.randint(30, 120))
