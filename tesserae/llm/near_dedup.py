@@ -8,7 +8,8 @@
   set; two sets agree in one with the probability of their weighted Jaccard similarity. The samples are
   banded (16 bands of 4); texts that share a band's bucket may be similar.
 * Texts with the same weighted set are one *node* (its fingerprint), so copies cost a row each and no pair.
-* Each band draws from a row of random numbers of its own for each shingle, so bands are independent of each other.
+* Each group of four bands draws from a row of random numbers of its own for each shingle, by a hash of its own, so no two shingles share the draws
+  of all bands.
 * Each bucket compares its members with a pivot, its smallest node, by exact weighted Jaccard similarity
   over the whole texts. Buckets whose other members aren't all in one component go on with the
   untried member that is most similar to the last pivot, the likely origin of the others. After a few rounds
@@ -53,16 +54,52 @@ class Settings:
 
 def shingles(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of lowered words, ascending, and how often each is there. A shorter text is one shingle."""
-    tokens = WORD.findall(text.lower())
-    if not tokens:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
-    n = max(1, len(w) - words + 1)
-    h = np.full(n, len(w) if len(w) < words else words, np.uint64)
-    for i in range(min(words, len(w))):
-        h = (h ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return np.unique(h, return_counts=True)
+    h, counts, _ = shingled([text], words)
+    return h, counts
+
+
+def shingled(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` of some texts, one after the other, and where each text's begin and the last ones end."""
+    found = [WORD.findall(t.lower()) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    if not sizes.sum():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    w = np.fromiter((x for f in found for x in map(xxhash.xxh3_64_intdigest, f)), np.uint64, int(sizes.sum()))
+    n = np.where(sizes, np.maximum(1, sizes - words + 1), 0)
+    # the first word of every shingle; its text's length, if that is shorter
+    ends = np.cumsum(n)
+    first = np.repeat(np.cumsum(sizes) - sizes - ends + n, n) + np.arange(ends[-1])
+    long = np.repeat(np.minimum(sizes, words), n)
+    h = long.astype(np.uint64)
+    whole = bool((long == words).all())
+    for i in range(words):
+        if whole:
+            h = (h ^ w[first + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        else:
+            own = (h ^ w[np.minimum(first + i, len(w) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+            h = np.where(i < long, own ^ (own >> np.uint64(29)), h)
+    starts = ends - n
+    for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+        h[i:j].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[starts[n > 0]] = True
+    at = np.flatnonzero(new)
+    return h[at], np.diff(at, append=len(h)), np.searchsorted(at, np.append(starts, len(h)))
+
+
+def _blocks_of(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts, in runs of about so many characters."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t)
+        size += len(t)
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 #: Odd multipliers of the sketch's rows; parts that the sketch is summed in.
@@ -87,7 +124,8 @@ class Frequencies:
     def documents(self, h: np.ndarray) -> np.ndarray:
         """How many documents each shingle is in: the median of its counters, 1 at least."""
         at, sign = counters(h, self.bits)
-        return np.clip(np.median(self.counts.take(at) * sign, axis=0) if len(h) else np.zeros(0), 1, max(1, self.n))
+        a, b, c = self.counts.take(at) * sign
+        return np.clip(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), 1, max(1, self.n))
 
     def idf(self, h: np.ndarray) -> np.ndarray:
         """1 + ln((1 + documents) / (1 + documents with the shingle)) / ln(2 + documents), from 1 (everywhere) to 2.
@@ -95,18 +133,20 @@ class Frequencies:
         Scaled to that range so that what a large group of copies shares still outweighs what tells two of them apart, and a
         similarity means much the same in groups of two and of thousands.
         """
-        return (1 + np.log((1 + self.n) / (1 + self.documents(h))) / np.log(2 + self.n)).astype(np.float32)
+        apart = np.log(np.float32(1 + self.n)) - np.log(1 + self.documents(h).astype(np.float32))
+        return 1 + apart * np.float32(1 / np.log(2 + self.n))
 
 
 def _counted(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(len(ROWS) << s.frequency_bits, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h, _ = shingles(text, s.words)
-                for at in range(0, len(h), 1 << 18):
-                    np.add.at(table, *counters(h[at : at + (1 << 18)], s.frequency_bits))
-                n += len(h) > 0
+            for texts in _blocks_of(batch.column(0).to_pylist()):
+                h, _, at = shingled(texts, s.words)
+                n += int((np.diff(at) > 0).sum())
+                for k in range(0, len(h), 1 << 18):
+                    where, sign = counters(h[k : k + (1 << 18)], s.frequency_bits)
+                    table += np.bincount(where.ravel(), sign.ravel(), len(table)).astype(np.int64)
         if n:
             yield from _blobs(enumerate(np.array_split(table, PARTS)), n)
 
@@ -157,14 +197,19 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / either if either else 0.0
 
 
+#: Bands that draw from one row.
+TOGETHER = 4
+
+
 @lru_cache(maxsize=1)
 def _random(s: Settings) -> tuple[np.ndarray, ...]:
-    """1/r, beta, r and ln c - r: rows that a shingle's hash chooses from, a column for each sample of a band; and a multiplier for each band."""
-    rng, shape = np.random.default_rng(s.seed), (1 << s.table_bits, s.band_rows)
+    """1/r, beta, r and ln c - r: rows that a shingle's hash chooses from, a column for each sample of a group of bands; and a multiplier for each group."""
+    rng, groups = np.random.default_rng(s.seed), -(-s.bands // TOGETHER)
+    shape = 1 << s.table_bits, s.bands * s.band_rows // groups
     r = rng.gamma(2, 1, shape)
     c = rng.gamma(2, 1, shape)
     beta = rng.random(shape)
-    odd = rng.integers(0, 1 << 63, s.bands, np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = rng.integers(0, 1 << 63, groups, np.uint64) * np.uint64(2) + np.uint64(1)
     return *(x.astype(np.float32) for x in (1 / r, beta, r, np.log(c) - r)), odd
 
 
@@ -175,14 +220,18 @@ def samples(h: np.ndarray, w: np.ndarray, s: Settings) -> np.ndarray:
     log_w = np.log(w)
     best, level, which = None, None, None
     for at in range(0, len(h), 512):  # blocks that stay in cache; long texts need no more memory
-        k = (mixed[at : at + 512, None] * odd >> np.uint64(64 - s.table_bits)).astype(np.int64)  # the row of each shingle in each band
-        draw = lambda table: table.take(k, axis=0).reshape(len(k), -1)  # noqa: B023, E731
-        b = draw(beta)
-        t = np.floor(log_w[at : at + 512, None] * draw(per_r) + b)
-        a = draw(c) - draw(r) * (t - b)
-        i = a.argmin(axis=0)
-        own = np.take_along_axis(a, i[None], 0)[0]
-        t = np.take_along_axis(t, i[None], 0)[0]
+        k = (mixed[at : at + 512, None] * odd >> np.uint64(64 - s.table_bits)).astype(np.int64)  # the row of each shingle in each group
+        b = beta.take(k, axis=0).reshape(len(k), -1)
+        t = per_r.take(k, axis=0).reshape(len(k), -1)
+        t *= log_w[at : at + 512, None]
+        t += b
+        np.floor(t, out=t)
+        b -= t
+        b *= r.take(k, axis=0).reshape(len(k), -1)
+        b += c.take(k, axis=0).reshape(len(k), -1)  # ln c - r - r (t - beta)
+        i = b.argmin(axis=0)
+        columns = np.arange(b.shape[1])
+        own, t = b[i, columns], t[i, columns]
         if best is None:
             best, level, which = own, t, i + at
         else:
@@ -205,10 +254,13 @@ def _signed(table, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, keys = [], []
-            for text in batch.column(3).to_pylist():
-                h, counts = shingles(text, s.words)
-                nodes.append(xxhash.xxh3_128_digest(h.tobytes() + counts.tobytes()) if len(h) else None)
-                keys.append(bands(samples(h, weights(h, counts, table.value), s), s) if len(h) else None)
+            for texts in _blocks_of(batch.column(3).to_pylist()):
+                flat, each, at = shingled(texts, s.words)
+                heavy = weights(flat, each, table.value)
+                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    h = flat[i:j]
+                    nodes.append(xxhash.xxh3_128_digest(h.tobytes() + each[i:j].tobytes()) if len(h) else None)
+                    keys.append(bands(samples(h, heavy[i:j], s), s) if len(h) else None)
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(nodes, pa.binary()), pa.array(keys, kind)], names=["doc_id", FILE, ROW, "node", "bands"])
 
