@@ -1,7 +1,9 @@
 """A corpus pipeline: language ID, exact dedup, near-dedup, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; ``run`` writes each
-stage's rows to the shared folder and reads them again for the next.
+stage's rows to the shared folder and reads them again for the next. Stages return the columns of documents (``COLUMNS``); columns
+beyond those go. Null, empty and letterless texts have no language and go in the first stage; null doc_ids and repeated rows are rows like others, told apart
+by locator, until exact dedup leaves one of each text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is not rejected (operator 1)."""
+    """Rows whose language is not rejected (operator 1); texts without a letter have none. The model learns from the rows that op1_language_id's does."""
     model = langid.train(docs.where(~langid.held_out()))
     judged = langid.predict(docs, model, keep=("text", "lang", "source", "n_chars"))
     return judged.where(~F.col("rejected")).select(*COLUMNS)
@@ -57,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Trained models, sampling and automata can't be written in SQL; tests hold the stages against brute force.
+#: Trained models, sampling and automata can't be written in SQL; tests/llm/test_contracts.py holds each stage against brute force.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}

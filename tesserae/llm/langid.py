@@ -39,13 +39,14 @@ MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: log2 of the buckets. sample: labelled rows fitted and calibrated on, at most. stretch: bytes of a training example. rejected: share of good texts rejected, at most. chance: probability that is never rejected, in multiples of a uniform guess."""
+    """bits: log2 of the buckets. sample: labelled rows fitted and calibrated on, at most. stretch: bytes of a training example. least_steps: of descent, which few rows get by more epochs. rejected: share of good texts rejected, at most. chance: probability that is never rejected, in multiples of a uniform guess."""
 
     bits: int = 16
     width: int = 16
     sample: int = 4000
     stretch: tuple[int, int] = (24, 240)
     epochs: int = 3
+    least_steps: int = 250
     batch: int = 64
     rate: float = 0.5
     rejected: float = 0.0005
@@ -119,7 +120,7 @@ def fit(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
     for b, lang in own:
         g = ngrams(b[: 1 << 16], s.bits)  # of a very long text, as much as tells
         seen[code[lang]] += np.bincount(g, minlength=size) / max(1, len(g))
-    steps = max(1, s.epochs * len(own) // s.batch)
+    steps = max(s.least_steps, s.epochs * len(own) // s.batch)
     for step in range(steps):
         pick = rng.integers(0, len(own), s.batch)
         grams = [cut(own[i][0]) for i in pick]
