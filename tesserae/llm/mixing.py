@@ -23,11 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FILE, ROW, anchored, located, rows_of, stored, text_of
+from tesserae import folders
+from tesserae.llm.common import FILE, ROW, anchored, located, partitions, rows_of, stored, text_of
 
 #: Bins of a permutation, and parts of a step of the search.
 BINS, PARTS, STEPS = 4096, 16, 6
-#: Keys that a source's rows are spread over where they meet its plan.
+#: Keys that a source's rows are spread over where they meet its plan, at least; as many as a shuffle has partitions, if these are more.
 SALTS = 64
 
 
@@ -110,6 +111,8 @@ def picks(rows: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     without a token go with their block. A null source is a source of its own; rows with null or repeated
     doc_ids are told apart by locator. An empty table gives an empty mixture.
     """
+    folders.top(rows.sparkSession)
+    salts = max(SALTS, partitions(rows.sparkSession))
     seed = F.lit(s.seed)
     totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).checkpoint()
     plan = weigh(totals.select("source", "tokens"), s).join(totals.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
@@ -120,9 +123,9 @@ def picks(rows: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     ).withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens")).checkpoint()
     key = ["name", "no_source"]
     dealt = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("no_source", F.col("source").isNull())
-    # a source may hold a third of all rows: its rows meet its plan under SALTS keys
-    own = plan.select(*key, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64(F.col(ROW), F.col(FILE)), F.lit(SALTS)).cast("int")).join(own, [*key, "salt"])
+    # a source may hold a third of all rows: its rows meet its plan under many keys
+    own = plan.select(*key, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64(F.col(ROW), F.col(FILE)), F.lit(salts)).cast("int")).join(own, [*key, "salt"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(seed, F.col(FILE), F.col(ROW)), F.col("n_blocks"))).drop("n_blocks", "salt")
     blocks = dealt.groupBy(*key, "block").agg(F.sum("n_tokens").alias("tokens")).join(plan.drop("tokens", "n_blocks"), key)
     place = _fraction(seed, F.col("name"), F.col("no_source"), F.col("whole"), F.col("block"))

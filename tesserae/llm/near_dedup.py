@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae import folders
 from tesserae.llm.common import FILE, ROW, anchored, arrow_map, located, partitions, rows_of, stored, text_of
 from tesserae.llm.exact_dedup import identifier
 
@@ -367,6 +368,7 @@ def components(edges: DataFrame) -> DataFrame:
     def sign(e: DataFrame) -> tuple:
         return tuple(e.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
+    folders.top(edges.sparkSession)
     e = edges.select("a", "b").where("a <> b").distinct()
     before = None
     while True:

@@ -266,9 +266,9 @@ def held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:  # noqa: B008
     """Fit on at most ``s.sample`` labelled texts of each label (doc_id, toxic), those with the smallest hashes of doc_id.
 
-    Labels other than 0 and 1, and null ones, are not used; a doc_id's labels count once if repeated.
+    Labels other than 0 and 1, and null ones, are not used; a doc_id's labels count once if repeated, and not at all if they contradict each other.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
     parts, weights = [], []
     for y in (0, 1):
         own = known.where(F.col("toxic") == y)

@@ -358,6 +358,15 @@ def test_toxicity(odd, none, spark):
     assert toxicity.score(odd, toxicity.train(none, labels)).count() == len(ROWS)
 
 
+def test_toxicity_leaves_out_contradictions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, w, s: seen.extend(zip(texts, y, w, strict=True)))
+    toxicity.train(docs, labels)
+    assert sorted(seen) == [("text 0", 1, 1.0), ("text 2", 0, 1.0), ("text 3", 1, 1.0)]
+
+
 def test_scans(odd, none):
     forest = secrets.train(secrets.Settings(findings=200, trees=5))
     for got in (licenses.scan_documents(odd), secrets.scan_documents(odd, forest)):
