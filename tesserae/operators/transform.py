@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.model import CELL, GENE, INDEX, VALUE, Dataset, Dims
@@ -14,14 +14,24 @@ from tesserae.operators import select
 SCALE = 10_000
 
 
+def _log1p(v: Column) -> Column:
+    """ln(v + 1); -inf at -1 and NaN below, as the function itself has it."""
+    shifted = v + 1
+    return F.when(shifted > 0, F.log(shifted)).when(shifted == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+
+
+def log1p(x: DataFrame) -> DataFrame:
+    """Every entry as ln(value + 1); zeros stay implicit."""
+    return x.withColumn(VALUE, _log1p(F.col(VALUE)))
+
+
 def normalised(x: DataFrame, keys: tuple[str, ...] = (CELL,)) -> DataFrame:
     """ln(1 + value * 10000 / total of the cell) where the total is above 0, other cells as they are.
 
     A window keeps it to one exchange by cell. A value of -1 after scaling gives -inf and a smaller one NaN.
     """
     total = F.sum(VALUE).over(Window.partitionBy(*keys))
-    shifted = F.col(VALUE) * SCALE / F.col("_total") + 1
-    log = F.when(shifted > 0, F.log(shifted)).when(shifted == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+    log = _log1p(F.col(VALUE) * SCALE / F.col("_total"))
     return x.withColumn("_total", total).withColumn(VALUE, F.when(F.col("_total") > 0, log).otherwise(F.col(VALUE))).drop("_total")
 
 

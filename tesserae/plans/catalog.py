@@ -27,7 +27,9 @@ def O_norm_log1p(spark, sf):
     return rounded(transform.normalised(star.x(spark, sf)), VALUE)
 
 
-again("O_fn_ln", "O_norm_log1p")
+@query("SELECT cell_idx, gene_idx, round(ln(value + 1), 6) AS value FROM x", "x")
+def O_fn_ln(spark, sf):
+    return rounded(transform.log1p(star.x(spark, sf)), VALUE)
 
 VARIANCE = """SELECT p_partkey AS gene_idx, round(coalesce(mu, 0), 6) AS mean, round(coalesce((ss + mu * mu * (n - k)) / n, 0), 6) AS variance
 FROM part LEFT JOIN (SELECT z.gene_idx, any_value(mu) AS mu, any_value(k) AS k, sum((value - mu) * (value - mu)) AS ss
@@ -306,7 +308,11 @@ def O_cmp_meta_columns(spark, sf):
     return spark.createDataFrame([(k, c) for k, v in found.items() for c in v], "kind string, column string")
 
 
-again("O_except_cols", "O_cmp_meta_columns")
+@query("SELECT 'only_first' AS side, column_name AS \"column\" FROM (VALUES ('o_custkey'), ('o_orderdate'), ('o_orderkey'), ('o_orderpriority'), ('o_orderstatus'), ('o_totalprice')) t(column_name) UNION ALL SELECT 'only_second', c FROM (VALUES ('p_brand'), ('p_name'), ('p_partkey'), ('p_retailprice'), ('p_size'), ('p_type')) t(c)")
+def O_except_cols(spark, sf):
+    """Columns of obs that var lacks, and the other way round."""
+    found = compare.metadata_accuracy(star.obs(spark, sf).drop(CELL), star.var(spark, sf).drop(GENE))
+    return spark.createDataFrame([(k, c) for k, name in (("only_first", "missing"), ("only_second", "extra")) for c in found[name]], "side string, column string")
 
 
 @query("SELECT 'o_totalprice' AS \"column\", 'number' AS kind, max(CASE WHEN o_orderkey % 3 = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS max_error, 0 AS codes_differ FROM orders UNION ALL SELECT 'o_orderpriority', 'category', 0, count(*) FILTER (WHERE o_orderpriority <> '3-MEDIUM') FROM orders")
@@ -374,10 +380,6 @@ def O_cmp_dataset(spark, sf):
     return compare.compare(*_two(spark, sf)).frame(spark).select("component", "passed")
 
 
-for name in ("O_cmp_x_validate", "O_cmp_roundtrip"):
-    again(name, "O_cmp_dataset")
-
-
 @query(DATASET + " UNION ALL SELECT 'correlation', " + PEARSON + " > 0.9999 FROM p, (SELECT n * m * 1.0 AS t FROM d)", "x", "y", "d", "p", "l")
 def O_cmp_x_format(spark, sf):
     return compare.cross_format(*_two(spark, sf)).frame(spark).select("component", "passed")
@@ -455,9 +457,6 @@ def O_union_rows(spark, sf):
     return layers.stack([(x, d.n_cells, d.n_genes)] * 2)
 
 
-again("O_concat_arrays", "O_union_rows")
-
-
 @query("SELECT cell_idx, gene_idx + m * k AS gene_idx, value FROM x, d, (VALUES (0), (1)) t(k)", "x", "d")
 def O_union_cols(spark, sf):
     x, d = star.x(spark, sf), star.dims(spark, sf)
@@ -577,7 +576,15 @@ def O_udf_chunk(spark, sf):
     return layout.process_chunks(star.x(spark, sf), 1000, summary, "chunk long, nnz long, total double, largest double")
 
 
-again("O_str_process", "O_udf_chunk")
+@query("SELECT CAST(floor(cell_idx / 700) AS BIGINT) AS chunk, cell_idx AS first, gene_idx AS gene, value FROM (SELECT *, row_number() OVER (PARTITION BY CAST(floor(cell_idx / 700) AS BIGINT) ORDER BY cell_idx, gene_idx) AS k FROM x) WHERE k = 1", "x")
+def O_str_process(spark, sf):
+    """A function that relies on the order within a chunk: its first entry."""
+    import pandas as pd
+
+    def first(chunk: int, entries: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [chunk], "first": [entries[CELL].iloc[0]], "gene": [entries[GENE].iloc[0]], "value": [entries[VALUE].iloc[0]]})
+
+    return layout.process_chunks(star.x(spark, sf), 700, first, "chunk long, first long, gene long, value double")
 
 
 from tesserae.plans import files  # noqa: E402, F401  (registers its queries)

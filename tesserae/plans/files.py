@@ -484,6 +484,38 @@ def O_snk_anndata_obj(spark, sf):
     return spark.createDataFrame(rows, "part string, rows long")
 
 
+# round trips
+
+ROUND = "SELECT component, (SELECT count(*) FROM orders WHERE o_orderkey < 0) = 0 AS passed FROM (VALUES ('expression'), ('layers'), ('obs'), ('obsm'), ('obsp'), ('var'), ('varp')) t(component)"
+
+
+@query(ROUND)
+def O_cmp_roundtrip(spark, sf):
+    """A dataset, and what a file of it gives back, component by component."""
+    from tesserae.operators import compare
+
+    ds, back = star.rich(spark, sf), h5ad.read(spark, _h5ad(spark, sf))
+    return compare.compare(ds, back.with_(obs=back.obs.select(ds.obs.columns), var=back.var.select(ds.var.columns))).frame(spark).select("component", "passed")
+
+
+@query("SELECT component, component NOT IN ('obsp', 'varp', 'layers', 'obs', 'var') AS passed FROM (VALUES ('correlation'), ('expression'), ('layers'), ('obs'), ('obsm'), ('obsp'), ('var'), ('varp')) t(component) WHERE (SELECT count(*) FROM orders) > 0")
+def O_cmp_x_validate(spark, sf):
+    """An H5AD file against an RDS file of less: what that has no place for, or under other names and types, fails."""
+    return api.validate(spark, _h5ad(spark, sf), _rds(spark, sf, "seurat")).frame(spark).select("component", "passed")
+
+
+@query(OBS, "d")
+def O_concat_arrays(spark, sf):
+    """Columns of chunks, one after the other: obs in three ranges of rows of its file."""
+    with hdf5.File(_h5ad(spark, sf)) as f:
+        schema, part = h5ad.parts(f)[0]["obs"]
+    n, out = part["rows"], None
+    for lo, hi in ((0, n // 3), (n // 3, n // 2), (n // 2, n)):
+        chunk = arrays.load(spark, h5ad.H5ad, _h5ad(spark, sf), (schema, part), 4000).where((F.col(CELL) >= lo) & (F.col(CELL) < hi))
+        out = chunk if out is None else out.unionByName(chunk)
+    return _obs(out)
+
+
 # formats
 
 
