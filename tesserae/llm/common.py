@@ -69,6 +69,12 @@ def arrow_map(df: DataFrame, run: Callable[[Batches], Batches], schema: str) ->
     return df.mapInArrow(released(run), schema)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of steps that nothing refers to any more; it only notices when both garbage collectors ran."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again."""
     path = shared_folder(df.sparkSession, name)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae import folders
-from tesserae.llm.common import FILE, ROW, anchored, arrow_map, located, partitions, rows_of, stored, text_of
+from tesserae.llm.common import FILE, ROW, anchored, arrow_map, let_go, located, partitions, rows_of, stored, text_of
 from tesserae.llm.exact_dedup import identifier
 
 WORD = re.compile(r"\w+")
@@ -373,6 +373,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         e = step(step(e, large=True), large=False).checkpoint()
+        let_go(edges.sparkSession)
         now = sign(e)
         if now == before or not now[0]:
             break
@@ -421,6 +422,7 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
         open_ = m.drop("pivot", "sim").join(best.select("key", F.col("next.node").alias("pivot"), F.col("next.label").alias("pivot_label")).checkpoint(), "key").checkpoint()
         if open_.isEmpty():
             return Links(links, labels)
+        let_go(spark)
     # the rest: members outside a bucket's largest component against all members, block by block
     m = open_.where("NOT used").select("key", "node", "label").join(known.select("node", "size"), "node")
     counts = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -465,7 +467,9 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa:
     members = stored(keyed.join(shared, "key"), "near-members")
     wanted = members.select("node").distinct().join(nodes.select(F.col("id").alias("node"), F.col("first.file").alias(FILE), F.col("first.row").alias(ROW)), "node")
     texts = stored(rows.select(FILE, ROW, "text").join(wanted, [FILE, ROW]).select("node", "text"), "near-texts")
+    let_go(spark)
     labels = _linked(spark, members, texts, table, s).labels
+    let_go(spark)
     labelled = nodes.select("node", "id", "first", "n").join(labels.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     classes = labelled.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     by_node = labelled.select("node", "label").join(classes, "label").select("node", "first", "class_size")
