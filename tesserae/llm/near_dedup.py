@@ -114,6 +114,10 @@ def counters(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return at, ((m >> np.uint64(63 - bits)) & np.uint64(1)).astype(np.int8) * 2 - 1
 
 
+#: Documents that are added to each shingle's.
+RARE = 16
+
+
 @dataclass
 class Frequencies:
     """A count sketch of the number of documents that each shingle is in, and the number of documents."""
@@ -129,13 +133,13 @@ class Frequencies:
         return np.clip(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), 1, max(1, self.n))
 
     def idf(self, h: np.ndarray) -> np.ndarray:
-        """1 + ln((1 + documents) / (1 + documents with the shingle)) / ln(2 + documents), from 1 (everywhere) to 2.
+        """1 + ln((RARE + documents) / (RARE + documents with the shingle)) / ln(RARE + 1 + documents), from 1 (everywhere) to nearly 2.
 
-        Scaled to that range so that what a large group of copies shares still outweighs what tells two of them apart, and a
+        What a few documents have counts as rare as what one has, so the limit means the same for a pair as for plain similarity. Scaled to that range so that what a large group of copies shares still outweighs what tells two of them apart, and a
         similarity means much the same in groups of two and of thousands.
         """
-        apart = np.log(np.float32(1 + self.n)) - np.log(1 + self.documents(h).astype(np.float32))
-        return 1 + apart * np.float32(1 / np.log(2 + self.n))
+        apart = np.log(np.float32(RARE + self.n)) - np.log(RARE + self.documents(h).astype(np.float32))
+        return 1 + apart * np.float32(1 / np.log(RARE + 1 + self.n))
 
 
 def _counted(s: Settings):
