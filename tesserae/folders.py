@@ -29,3 +29,9 @@ def new(spark: SparkSession, name: str = "") -> str:
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return f"{path}/{name}" if name else path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder, in any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -24,7 +24,7 @@ NUMBERED = "SELECT o_orderkey - c0 AS cell_idx"
 def _once(spark: SparkSession, sf: str, name: str, write) -> str:
     """The path of a file that ``write`` puts there, unless it is there."""
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not folders.exists(spark, _WRITTEN[key]):
         path = folders.new(spark, name)
         write(path)
         _WRITTEN[key] = path
