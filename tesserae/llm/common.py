@@ -29,13 +29,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return folders.new(spark, name)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file, in any store that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import FILE, ROW, anchored, exists, located, rows_of, shared_folder, stored, text_of
+from tesserae import folders
+from tesserae.llm.common import FILE, ROW, anchored, located, rows_of, shared_folder, stored, text_of
 
 #: Each run of these characters counts as one space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -106,7 +107,7 @@ def dedup(docs: DataFrame, bits: int = 256, batch_bytes: int = BATCH_BYTES, fold
     rows = located(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), FILE, ROW, text_of().alias("text"))
     folder = folder or shared_folder(spark, "exact")
     table = rows.select("doc_id", FILE, ROW, F.unhex(sha).alias("sha")).withColumn("digest", F.col("sha") if bits == 256 else F.substring("sha", 1, bits // 8))
-    if not exists(spark, f"{folder}/digests/_SUCCESS"):
+    if not folders.exists(spark, f"{folder}/digests/_SUCCESS"):
         table.write.mode("overwrite").parquet(f"{folder}/digests")
     state = run_stream(spark, f"{folder}/digests", f"{folder}/checkpoint", batch_bytes)
     digests = spark.read.schema(table.schema).parquet(f"{folder}/digests")
