@@ -52,6 +52,24 @@ def test_exact_colliding_on_purpose(spark, tmp_path):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, i % 40, 15, i < 40) for i in range(600)}
 
 
+def test_exact_goes_on_in_its_folder(spark, tmp_path):
+    """A second call with a folder takes up the digests and the state that a first one left there."""
+    spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs, folder = spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "kept")
+    want = sorted(map(tuple, exact_dedup.dedup(docs, folder=folder).collect()))
+    written = sorted((p, p.stat().st_mtime_ns) for p in (tmp_path / "kept" / "digests").iterdir())
+    assert sorted(map(tuple, exact_dedup.dedup(docs, folder=folder).collect())) == want
+    assert sorted((p, p.stat().st_mtime_ns) for p in (tmp_path / "kept" / "digests").iterdir()) == written
+
+
+def test_only_hits_pass_the_filter(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("_file"), F.col("id").alias("_row"))
+    hits = rows.where("doc_id % 50 = 0").select("_file", "_row")
+    got = {r.doc_id for r in exact_dedup.filtered(rows, hits, words=1 << 10).collect()}
+    assert {i for i in range(0, 5000, 50)} <= got and len(got) < 150
+    assert exact_dedup.filtered(rows, hits, words=1).count() >= 100 and exact_dedup.filtered(rows, hits.limit(0)).count() == 0
+
+
 def test_exact_stream_goes_on(spark, tmp_path):
     """State is kept: what arrives later meets what came before."""
     table, at = str(tmp_path / "digests"), str(tmp_path / "checkpoint")
