@@ -351,18 +351,22 @@ def _between_blocks(table, s: Settings):
     return run
 
 
+def apart(totals: DataFrame) -> DataFrame:
+    """An aggregate by key that is to be joined by that key, dealt anew: a join of two plain shuffles is split over tasks where a key is hot."""
+    return totals.repartition(partitions(totals.sparkSession))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it is linked to, over any number of links) for every node of the edges (a, b).
 
     Alternating large-star and small-star steps until nothing changes; each step is written to the
-    checkpoint folder. Smallest neighbours are aggregated before the shuffle; they are written before they are joined, so that
-    a hub's neighbours can be split over tasks (as skewed joins are, of two plain shuffles).
+    checkpoint folder. Smallest neighbours are aggregated before the shuffle (see ``apart`` for what meets a hub then).
     """
 
     def step(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("b", "a")).toDF("u", "v") if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
-        linked = both.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        linked = both.join(apart(least), "u")
         if large:
             out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -376,10 +380,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").where("a <> b").distinct()
     before = None
     while True:
-        e = step(step(e, large=True), large=False).checkpoint()
-        let_go(edges.sparkSession)
+        e = step(step(e, large=True).checkpoint(), large=False).checkpoint()
         now = sign(e)
         if now == before or not now[0]:
+            let_go(edges.sparkSession)
             break
         before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
@@ -407,8 +411,7 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
     def joined(new: DataFrame) -> DataFrame:
         return components(labels.toDF("a", "b").union(new.select("a", "b"))).checkpoint()
 
-    # what is aggregated by key is written before it is joined by key: a bucket that holds a large group is then split over tasks
-    open_ = members.join(members.groupBy("key").agg(F.min("node").alias("pivot")).checkpoint(), "key").withColumns({"used": F.lit(False), "label": F.col("node")})
+    open_ = members.join(apart(members.groupBy("key").agg(F.min("node").alias("pivot"))), "key").withColumns({"used": F.lit(False), "label": F.col("node")})
     for turn in range(s.rounds):
         pairs = open_.where("node <> pivot AND label <> pivot_label" if turn else "node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"))
         done = compare(pairs)
@@ -418,25 +421,25 @@ def _linked(spark: SparkSession, members: DataFrame, texts: DataFrame, table, s:
             links = links.union(new.select("a", "b"))
             labels = joined(new)
         # buckets whose members, but for the pivots, aren't all of one component
-        m = open_.drop("label", "pivot_label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("used", F.col("used") | (F.col("node") == F.col("pivot")))
-        keys = m.where("NOT used").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key").checkpoint()
+        m = open_.drop("label", "pivot_label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("used", F.col("used") | (F.col("node") == F.col("pivot"))).checkpoint()
+        keys = apart(m.where("NOT used").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
         sims = done.toDF("node", "pivot", "sim").union(done.select("b", "a", "sim").toDF("node", "pivot", "sim"))
         m = m.join(keys, "key", "left_semi").join(sims, ["node", "pivot"], "left")
         best = m.where("NOT used").groupBy("key").agg(F.max_by(F.struct("node", "label"), F.struct(F.coalesce("sim", F.lit(0.0)), "node")).alias("next"))
-        open_ = m.drop("pivot", "sim").join(best.select("key", F.col("next.node").alias("pivot"), F.col("next.label").alias("pivot_label")).checkpoint(), "key").checkpoint()
+        open_ = m.drop("pivot", "sim").join(apart(best.select("key", F.col("next.node").alias("pivot"), F.col("next.label").alias("pivot_label"))), "key").checkpoint()
         if open_.isEmpty():
             return Links(links, labels)
         let_go(spark)
     # the rest: members outside a bucket's largest component against all members, block by block
     m = open_.where("NOT used").select("key", "node", "label").join(known.select("node", "size"), "node")
     counts = m.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main")).checkpoint()
+    main = apart(counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main")))
     m = m.join(main, "key").withColumn("outside", F.col("label") != F.col("main")).checkpoint()
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         """key, <name> (number) and <name>_rows; about 256 texts or a million characters a block."""
-        sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / 256), F.ceil(F.sum("size") / 1_000_000)).alias("blocks")).checkpoint()
-        dealt = rows.join(sizes, "key").withColumn(name, F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+        sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / 256), F.ceil(F.sum("size") / 1_000_000)).alias("blocks"))
+        dealt = rows.join(apart(sizes), "key").withColumn(name, F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
         return stored(dealt.join(texts, "node").groupBy("key", name).agg(F.collect_list(F.struct("node", "label", "text")).alias(f"{name}_rows")), "near-blocks")
 
     q, every = blocks(m.where("outside"), "q"), blocks(m, "e")
@@ -467,8 +470,8 @@ def near_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa:
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(identifier()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "near-nodes")
     # from here on nodes go by the numbers that were written with them: short keys, and aggregates that need no sort
     keyed = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key").checkpoint()
-    members = stored(keyed.join(shared, "key"), "near-members")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    members = stored(keyed.join(apart(shared), "key"), "near-members")
     wanted = members.select("node").distinct().join(nodes.select(F.col("id").alias("node"), F.col("first.file").alias(FILE), F.col("first.row").alias(ROW)), "node")
     texts = stored(rows.select(FILE, ROW, "text").join(wanted, [FILE, ROW]).select("node", "text"), "near-texts")
     let_go(spark)
