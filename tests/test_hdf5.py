@@ -260,3 +260,27 @@ def test_api(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"cells": 40, "genes": 9}
     assert api.validate(spark, str(tmp_path / "a.rds"), str(tmp_path / "b.rds")).passed
     assert cli.main(["convert", path, str(tmp_path / "c.loom")]) == 0 and api.read_loom(spark, str(tmp_path / "c.loom")).dims.n_cells == 40
+
+
+def test_writer_keeps_rows_off_the_driver(spark, tmp_path, monkeypatch):
+    """Arrays of many pieces, made by executors: no block of rows comes to the driver."""
+    from pyspark.sql import functions as F
+
+    from tesserae.model import Dataset, Dims
+    from tesserae.operators import select
+    from tesserae.sources import h5ad, pieces
+
+    monkeypatch.setattr(select, "ordered_blocks", lambda *_: 1 / 0)
+    monkeypatch.setattr(pieces, "PIECE", 1 << 15)
+    n = 70_000
+    x = spark.range(n).selectExpr("id % 7000 AS cell_idx", "id div 7000 * 3 AS gene_idx", "cast(id AS double) AS value").where("cell_idx <> 5")
+    obs = spark.range(7000).select(F.col("id").alias("cell_idx"), F.concat(F.lit("é"), "id").alias("_index"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("word"), F.when(F.col("id") % 3 == 0, F.col("id").cast("int")).alias("number"))
+    var = spark.range(30).select(F.col("id").alias("gene_idx"), F.concat(F.lit("g"), "id").alias("_index"))
+    obsm = spark.range(7000).select(F.lit("two").alias("name"), F.col("id").alias("cell_idx"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("vec"))
+    heard = []
+    h5ad.write(Dataset(x, obs, var, Dims(7000, 30), obsm=obsm), f"{tmp_path}/a.h5ad", lambda *a: heard.append(a))
+    back = h5ad.read(spark, f"{tmp_path}/a.h5ad", rows=999)
+    for a, b in ((x, back.x), (obs.select(back.obs.columns), back.obs.withColumn("number", F.col("number").cast("int"))), (var, back.var), (obsm, back.obsm)):
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert heard[-1] == (7000, 7000) and [h[0] for h in heard] == sorted({h[0] for h in heard}) and len(heard) > 1
+    assert [p.name for p in tmp_path.iterdir()] == ["a.h5ad"]
