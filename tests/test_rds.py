@@ -58,3 +58,20 @@ def test_split_layers_and_factors(spark, tmp_path):
     assert rds.version(x) == "V5" and rds.kind_of(x) == "seurat"
     with pytest.raises(ValueError):
         rds.kind_of(r.S4({"class": r.strings("lm")}))
+
+
+@pytest.mark.parametrize("kind", ["seurat", "sce"])
+def test_objects_keep_rows_off_the_driver(spark, tmp_path, ds, kind, monkeypatch):
+    """Objects and files are made of executors' pieces, and entries come back from them."""
+    from tesserae.sources import pieces
+
+    monkeypatch.setattr(type(ds.x), "toPandas", lambda _: 1 / 0)
+    monkeypatch.setattr(pieces, "PIECE", 2)
+    x = rds.to_object(ds, kind)
+    assert rds.from_object(spark, x).x.exceptAll(ds.x).isEmpty()
+    m = rds.dgc_of(ds.x, rds.names_of(ds.obs, "cell_idx", str(tmp_path), "c"), rds.names_of(ds.var, "gene_idx", str(tmp_path), "g"), str(tmp_path))
+    assert sorted(map(tuple, rds.entries(spark, m).collect())) == [(0, 0, 1.0), (0, 2, 2.0), (2, 1, 3.5)]
+    rds.save(spark, x, str(tmp_path / "x.rds"))
+    got = rds.read(spark, str(tmp_path / "x.rds"))
+    assert sorted(map(tuple, got.x.collect())) == [(0, 0, 1.0), (0, 2, 2.0), (2, 1, 3.5)]
+    assert [tuple(v) for v in got.obs.orderBy("cell_idx").select("_index", "n", "score", "kind", "ok").collect()] == [("c0", 1, 0.5, "a", True), ("c1", None, None, None, None), ("c2", 3, 2.5, "b", False)]
