@@ -253,3 +253,15 @@ def test_running_totals(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "out"))
     last = last.where(F.col("batch") == last.agg(F.max("batch")).first()[0])
     assert {r.cell_idx: (r.nnz, r.total) for r in last.collect()} == {0: (3, 7.0), 1: (2, 8.0)}
+
+
+def test_dense_rows_stay_in_workers(spark, monkeypatch):
+    """Dense totals and entries, a cell without entries and a NaN among them, without an array of a whole row in the JVM."""
+    from tesserae.model import Dims
+    from tesserae.operators import layout
+
+    x = spark.createDataFrame([(5, 3, 2.0), (5, 4, float("nan")), (7, 3, 0.0), (7, 6, 1.5)], "cell_idx long, gene_idx long, value double")
+    cells, d = spark.createDataFrame([(5,), (6,), (7,)], "cell_idx long"), Dims(3, 4, first_cell=5, first_gene=3)
+    monkeypatch.setattr(layout, "dense_rows", lambda *_: 1 / 0)
+    assert sorted(str(tuple(r)) for r in layout.dense_entries(x, cells, d).collect()) == ["(5, 3, 2.0)", "(5, 4, nan)", "(7, 6, 1.5)"]
+    assert sorted(str(tuple(r)) for r in layout.dense_totals(x, cells, d).collect()) == ["(5, nan, 2)", "(6, 0.0, 4)", "(7, 1.5, 3)"]
