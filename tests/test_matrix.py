@@ -265,3 +265,15 @@ def test_dense_rows_stay_in_workers(spark, monkeypatch):
     monkeypatch.setattr(layout, "dense_rows", lambda *_: 1 / 0)
     assert sorted(str(tuple(r)) for r in layout.dense_entries(x, cells, d).collect()) == ["(5, 3, 2.0)", "(5, 4, nan)", "(7, 6, 1.5)"]
     assert sorted(str(tuple(r)) for r in layout.dense_totals(x, cells, d).collect()) == ["(5, nan, 2)", "(6, 0.0, 4)", "(7, 1.5, 3)"]
+
+
+def test_dense_rows_share_a_block(spark):
+    """Rows as wide as a block, one after the other in the same memory: none has another's values."""
+    from tesserae.model import Dims
+    from tesserae.operators import layout
+
+    width = 1 << 17
+    x = spark.createDataFrame([(c, (c * 7919) % width, float(c + 1)) for c in range(12)], "cell_idx long, gene_idx long, value double")
+    cells = spark.range(13).select(F.col("id").alias(CELL)).coalesce(1)
+    assert values(layout.dense_entries(x, cells, Dims(13, width))) == values(x)
+    assert {r.cell_idx: (r.total, r.zeros) for r in layout.dense_totals(x, cells, Dims(13, width)).collect()} == {c: (c + 1.0, width - 1) for c in range(12)} | {12: (0.0, width)}
