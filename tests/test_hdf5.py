@@ -284,3 +284,38 @@ def test_writer_keeps_rows_off_the_driver(spark, tmp_path, monkeypatch):
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     assert heard[-1] == (7000, 7000) and [h[0] for h in heard] == sorted({h[0] for h in heard}) and len(heard) > 1
     assert [p.name for p in tmp_path.iterdir()] == ["a.h5ad"]
+
+
+@pytest.mark.parametrize("shape", [(7, 5000), (900, 3), (3000, 2000)])
+def test_dense_arrays_are_tiles_that_executors_make(spark, tmp_path, monkeypatch, shape):
+    """Tiles without an entry are not stored, rows do not go through the driver, and what comes back is the same, from any range of rows."""
+    from pyspark.sql import functions as F
+
+    from tesserae.operators import select
+    from tesserae.sources import arrays, h5ad, pieces
+
+    monkeypatch.setattr(select, "ordered_blocks", lambda *_: 1 / 0)
+    monkeypatch.setattr(pieces, "PIECE", 64)
+    rng = np.random.default_rng(1)
+    at = np.unique(np.concatenate([rng.integers(0, shape[0] * shape[1], 300), [shape[0] * shape[1] - 1]]))
+    want = sorted((int(k) // shape[1], int(k) % shape[1], float(n + 1)) for n, k in enumerate(at))
+    path = str(tmp_path / "x.h5")
+    with hdf5.Writer(path) as w:
+        entries = spark.createDataFrame([(i + 2, j + 1, v) for i, j, v in want], "cell_idx long, gene_idx long, value double")
+        h5ad._write_dense(w, "X", entries, "cell_idx", "gene_idx", shape, (2, 1))
+        h5ad._write_dense(w, "none", entries.where(F.lit(False)), "cell_idx", "gene_idx", shape, (2, 1))
+    with hdf5.File(path) as f:
+        x, d = f["X"], arrays.matrix_of(f["X"], "X")
+        assert x.shape == shape and d["values"] <= shape[0] * shape[1] and not f["none"].read().any() and f["none"].stored_values() == 0
+        dense = np.zeros(shape)
+        for i, j, v in want:
+            dense[i, j] = v
+        assert (x.read() == dense).all()
+        cuts = [0, shape[0] // 3, shape[0] // 3 + 1, shape[0]]
+        assert (np.concatenate([x.read(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]) == dense).all()
+        got = [(int(i), int(j), float(v)) for a, b in zip(cuts, cuts[1:], strict=False) for row, column, value in arrays.entries(f, d, a, b) for i, j, v in zip(row, column, value, strict=True)]
+        assert sorted(got) == want
+        if shape[0] * shape[1] > 1 << 20:  # fewer tiles than the matrix has
+            assert len(list(x.nonzero(0, shape[0]))) >= 1 and (tmp_path / "x.h5").stat().st_size < 1 << 18
+    with pytest.raises(ValueError), hdf5.Writer(path) as w:
+        h5ad._write_dense(w, "X", entries, "cell_idx", "gene_idx", (shape[0], shape[1] - 1), (2, 1))
