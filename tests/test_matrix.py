@@ -277,3 +277,16 @@ def test_dense_rows_share_a_block(spark):
     cells = spark.range(13).select(F.col("id").alias(CELL)).coalesce(1)
     assert values(layout.dense_entries(x, cells, Dims(13, width))) == values(x)
     assert {r.cell_idx: (r.total, r.zeros) for r in layout.dense_totals(x, cells, Dims(13, width)).collect()} == {c: (c + 1.0, width - 1) for c in range(12)} | {12: (0.0, width)}
+
+
+def test_split_layers_are_dense_in_workers_only(spark):
+    """Layers of another extent as dense rows, without an array of a whole row in the JVM: a cell without entries, a NaN, and none at all."""
+    from tesserae.operators import layers, layout
+
+    t = spark.createDataFrame([("a", 0, 0, 1.0), ("w", 0, 3, 2.0), ("w", 2, 1, float("nan")), ("v", 1, 0, 4.0)], "layer string, cell_idx long, gene_idx long, value double")
+    dims, schema = {"a": (3, 3), "w": (3, 4), "v": (2, 1)}, "cell_idx long, gene_idx long, value double"
+    got = layers.over_split(t, dims, (3, 3), layout.nonzero(), schema)
+    assert sorted(str(tuple(r)) for r in got.collect()) == ["('X_v', 1, 0, 4.0)", "('X_w', 0, 3, 2.0)", "('X_w', 2, 1, nan)"]
+    width = layers.over_split(t, dims, (3, 3), lambda cell, rows: {"cell_idx": cell, "n": rows.shape[1] + 0 * cell}, "cell_idx long, n long")
+    assert sorted(map(tuple, width.collect())) == [("X_v", 0, 1), ("X_v", 1, 1), ("X_w", 0, 4), ("X_w", 1, 4), ("X_w", 2, 4)]
+    assert layers.over_split(t, {"a": (3, 3)}, (3, 3), layout.nonzero(), schema).isEmpty()
