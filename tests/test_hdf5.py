@@ -319,3 +319,29 @@ def test_dense_arrays_are_tiles_that_executors_make(spark, tmp_path, monkeypatch
             assert len(list(x.nonzero(0, shape[0]))) >= 1 and (tmp_path / "x.h5").stat().st_size < 1 << 18
     with pytest.raises(ValueError), hdf5.Writer(path) as w:
         h5ad._write_dense(w, "X", entries, "cell_idx", "gene_idx", (shape[0], shape[1] - 1), (2, 1))
+
+
+def test_tiles_of_one_entry_need_no_deflater(monkeypatch):
+    """Of a matrix with few entries tiles are small, and those of one entry are put together as whole arrays."""
+    import zlib
+
+    from tesserae.sources import pieces
+
+    assert pieces.tile_of((120_000, 900_000), 3_600_000) == (1, 128)
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.standard_normal(60), [np.inf, np.nan, -0.0, 5e-324]])
+    for size in (1, 7, 128):
+        for place in range(size):
+            want = np.zeros((len(values), size))
+            want[:, place] = values
+            assert [zlib.decompress(x.tobytes()) for x in pieces.single(place, size, values)] == [x.tobytes() for x in want]
+    key = np.sort(rng.integers(0, 5000, 3000))
+    place, value = rng.integers(0, 128, 3000), rng.random(3000)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    want = np.zeros((len(begin), 128))
+    want[np.searchsorted(key[begin], key), place] = value
+    asked, deflate = [], zlib.compress
+    monkeypatch.setattr(zlib, "compress", lambda *x: asked.append(1) or deflate(*x))
+    data, starts, lengths = pieces.deflated(begin, place, value, 128, 1)
+    assert len(asked) == int((np.diff(np.append(begin, 3000)) > 1).sum()) and not (starts % 8).any()
+    assert [zlib.decompress(data[a : a + n].tobytes()) for a, n in zip(starts, lengths, strict=True)] == [x.tobytes() for x in want]
