@@ -345,3 +345,32 @@ def test_tiles_of_one_entry_need_no_deflater(monkeypatch):
     data, starts, lengths = pieces.deflated(begin, place, value, 128, 1)
     assert len(asked) == int((np.diff(np.append(begin, 3000)) > 1).sum()) and not (starts % 8).any()
     assert [zlib.decompress(data[a : a + n].tobytes()) for a, n in zip(starts, lengths, strict=True)] == [x.tobytes() for x in want]
+
+
+def test_loom_parts_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    """Attributes of rows and of columns wait for each other; a part that fails is an error once all have ended."""
+    import threading
+
+    from tesserae.sources import pieces
+
+    both, attributes, path = threading.Barrier(2, timeout=30), loom._write_attributes, str(tmp_path / "a.loom")
+    monkeypatch.setattr(loom, "_write_attributes", lambda *a: (both.wait(), attributes(*a)))
+    ds = full(spark)
+    loom.write(ds, path)
+    back = loom.read(spark, path)
+    assert back.dims.n_cells == 40 and back.x.exceptAll(ds.x).isEmpty() and ds.x.exceptAll(back.x).isEmpty()
+    assert [p.name for p in tmp_path.iterdir()] == ["a.loom"]
+    ended = []
+    with pytest.raises(ZeroDivisionError):
+        pieces.together(spark, [lambda: 1 / 0, lambda: ended.append(spark.range(3).count())])
+    assert ended == [3] and pieces.together(spark, [lambda k=k: k for k in range(20)]) == list(range(20))
+
+
+def test_threads_put_arrays_into_one_file(spark, tmp_path):
+    from tesserae.sources import pieces
+
+    arrays_of = {f"g{k % 3}/a{k}": np.arange(k * 50, dtype="i8") for k in range(1, 60)}
+    with hdf5.Writer(str(tmp_path / "a.h5")) as w:
+        pieces.together(spark, [lambda k=k, v=v: w.array(k, v) for k, v in arrays_of.items()])
+    with hdf5.File(str(tmp_path / "a.h5")) as f:
+        assert all((f[k].read() == v).all() and len(f[k]) == len(v) for k, v in arrays_of.items())
